@@ -1,0 +1,7 @@
+"""Queries of the retrieval operators and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+FLAGSHIP = "acl_dense_topk"
+QUERIES = {}
+ORACLES = {}

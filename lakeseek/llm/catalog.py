@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lakeseek.llm import sharding, urls
+from lakeseek.llm import fingerprints, langid, sharding, urls
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.query,
+    "op2_language_id": langid.query,
     "op4_url_filters": urls.query,
     "op8_sharding": sharding.query,
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lakeseek.llm import fingerprints, langid, sharding, urls
+from lakeseek.llm import fingerprints, langid, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_language_id": langid.query,
     "op4_url_filters": urls.query,
+    "op7_simhash": simhash.query,
     "op8_sharding": sharding.query,
+    "op9_secrets": secrets.query,
 }
 
 ORACLES = {

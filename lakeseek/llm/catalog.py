@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeseek.llm import fingerprints, langid, secrets, sharding, simhash, urls
+from lakeseek.llm import fingerprints, langid, pii, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_sharding": sharding.query,
     "op9_secrets": secrets.query,
+    "op10_pii": pii.query,
 }
 
 ORACLES = {

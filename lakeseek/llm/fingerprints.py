@@ -76,6 +76,16 @@ def likeness(a: np.ndarray, a_words: np.ndarray, b: np.ndarray, b_words: np.ndar
     return np.where(a_words & b_words, found, np.where(a_words == b_words, 1.0, 0.0))
 
 
+def packed_likeness(a: bytes, b: bytes) -> float:
+    """Likeness of two packed fingerprints (empty: a text without words)."""
+    if not a or not b:
+        return float(a == b)
+    apart = int.from_bytes(a, "little") ^ int.from_bytes(b, "little")
+    mask = int("01" * BINS, 2)  # one bit of each two-bit field
+    agree = 1 - ((apart | apart >> 1) & mask).bit_count() / BINS
+    return max(0.0, (agree - 2.0**-BITS) / (1 - 2.0**-BITS))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of ``docs``."""
 

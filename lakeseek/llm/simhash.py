@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeseek.llm import fingerprints as minhash
 from lakeseek.llm.common import checkpointed, chunks_by_bytes, read_table
 from lakeseek.llm.graph import connected_components
 
@@ -145,19 +146,26 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def links(group: np.ndarray, fp: np.ndarray, reference: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (u, v) that connect what pairs of the same group within ``radius`` bits connect."""
+def links(group: np.ndarray, fp: np.ndarray, reference: np.ndarray, radii: tuple[int, ...] = (RADIUS,)) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (u, v) that connect what pairs of the same group within the largest of ``radii`` bits connect.
+
+    Ascending radii make the edges of a group short ones where it has short ones.
+    """
     table = np.bitwise_count(fp[:, None] ^ reference[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], group))
     group, fp, table = group[order], fp[order], table[order]
     parent, us, vs = np.arange(len(fp)), [], []
-    at, step = np.arange(len(fp)), 0
+    sweeps = [(radius, np.arange(len(fp))) for radius in radii]
+    step, radius, at = 0, *sweeps.pop(0)
     while True:
         step += 1
         at = at[at + step < len(fp)]
         at = at[(group[at] == group[at + step]) & (table[at + step, 0] - table[at, 0] <= radius)]
         if not len(at):
-            break
+            if not sweeps:
+                break
+            step, radius, at = 0, *sweeps.pop(0)
+            continue
         i = at[parent[at] != parent[at + step]]
         for lo in range(0, len(i), 1 << 16):
             a = i[lo : lo + (1 << 16)]
@@ -177,11 +185,11 @@ def links(group: np.ndarray, fp: np.ndarray, reference: np.ndarray, radius: int
     return fp[np.array(us, np.int64)], fp[np.array(vs, np.int64)]
 
 
-def _link_batches(reference: np.ndarray):
+def _link_batches(reference: np.ndarray, radii: tuple[int, ...]):
     def edges(held):
         mask, key, fp = (np.concatenate([h[k] for h in held]) for k in range(3))
         group = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
-        u, v = links(group, fp.view(np.uint64), reference)
+        u, v = links(group, fp.view(np.uint64), reference, radii)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     def work(batches):
@@ -206,47 +214,103 @@ def _link_batches(reference: np.ndarray):
     return work
 
 
-def close_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that connect all pairs within RADIUS bits."""
+def close_edges(nodes: DataFrame, coarse: list[int] | None = None, finer=finer_masks, radii: tuple[int, ...] = (RADIUS,)) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints ``fp`` that connect the close pairs meeting under a mask.
+
+    With the masks given by default these are all pairs within RADIUS bits.
+    """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coarse = masks()
+    coarse = coarse or masks()
 
     def under(mask_list: list[int]):
-        return F.explode(F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in mask_list)))
+        return F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in mask_list))
 
-    dealt = nodes.select("fp", under(coarse).alias("at")).select("at.mask", "at.key", "fp")
+    dealt = nodes.select("fp", F.explode(under(coarse)).alias("at")).select("at.mask", "at.key", "fp")
     dense = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("mask", "key", F.lit(True).alias("dense"))
     known = dealt.join(dense, ["mask", "key"], "left")
-    finer = F.lit(None)
+    split = None
     for m in coarse:
-        finer = F.when(F.col("mask") == _signed(m), F.array(*(F.struct(F.lit(_signed(f)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(f))).alias("key")) for f in finer_masks(m)))).otherwise(finer)
-    split = known.where("dense").select("fp", F.explode(finer).alias("at")).select("at.mask", "at.key", "fp")
-    groups = known.where("dense is null").select("mask", "key", "fp").unionByName(split)
-    return groups.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_link_batches(pivots()), "u long, v long")
+        split = F.when(F.col("mask") == _signed(m), under(finer(m))) if split is None else split.when(F.col("mask") == _signed(m), under(finer(m)))
+    again = known.where("dense").select("fp", F.explode(split).alias("at")).select("at.mask", "at.key", "fp")
+    groups = known.where("dense is null").select("mask", "key", "fp").unionByName(again)
+    return groups.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_link_batches(pivots(), radii), "u long, v long")
 
 
-def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable) of every row."""
-    found = checkpointed(fingerprints(docs, width))
+def _labelled(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (doc_id, fp, ...) with component_id, given the edges between its fingerprints."""
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = connected_components(close_edges(nodes.select("fp")))
+    star = connected_components(edges)
     named = nodes.join(star, nodes["fp"] == star["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = named.join(lowest, "component").select("fp", "component_id")
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, fp and component_id (least doc_id reachable over links of RADIUS bits) of every row."""
+    found = checkpointed(fingerprints(docs, width))
+    return _labelled(found, close_edges(found.select("fp").distinct()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; of repeated ids one row, null ids all.
+#: For near copies by likeness: sampled-bit masks, bits in each, and the radii swept.
+TABLES, TABLE_BITS, NEAR_RADII, NEAR_WIDTH, LIKENESS = 64, 16, (3, 8, 14), 5, 0.8
+
+
+def sampled_masks() -> list[int]:
+    rng = np.random.default_rng(13)
+    return [sum(1 << int(b) for b in rng.choice(64, TABLE_BITS, replace=False)) for _ in range(TABLES)]
+
+
+def sampled_finer(mask: int) -> list[int]:
+    rng = np.random.default_rng(mask % (1 << 32))
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << int(b) for b in rng.choice(rest, 8, replace=False)) for _ in range(12)]
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id over links of five-word shingles with a likeness of 0.8 or more.
+
+    At that likeness SimHash fingerprints differ by some 10 bits, too many for masks that miss none.
+    Pairs therefore meet under TABLES masks of sampled bits (a pair 10 bits apart meets under at
+    least one with about 95 %), the same pivot sweep connects those within 14 bits, closest first,
+    and each edge is verified by the likeness of one-permutation MinHash signatures.
+    """
+
+    def work(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            fps, sigs = [], []
+            for lo, hi in chunks_by_bytes(texts):
+                fps.append(simhash(texts[lo:hi], NEAR_WIDTH))
+                sigs += minhash.packed(*minhash.signatures(texts[lo:hi]))
+            fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sigs, pa.string())], ["doc_id", "fp", "sig"])
+
+    def alike(batches):
+        for batch in batches:
+            a, b = ([bytes.fromhex(x) for x in batch.column(k).to_pylist()] for k in ("a", "b"))
+            good = [minhash.packed_likeness(x, y) >= LIKENESS for x, y in zip(a, b)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), T.StructField("sig", T.StringType())])
+    found = checkpointed(docs.select("doc_id", "text").mapInArrow(work, schema))
+    nodes = found.groupBy("fp").agg(F.min("sig").alias("sig"))
+    edges = close_edges(nodes.select("fp"), sampled_masks(), sampled_finer, NEAR_RADII).distinct()
+    paired = edges.join(nodes.select(F.col("fp").alias("u"), F.col("sig").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("sig").alias("b")), "v")
+    return _labelled(found, paired.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its near copies; of repeated ids one row, null ids all.
 
     The texts are shuffled once, by doc_id, for the anti join and the choice among repeated ids.
     """
-    dropped = components(docs, width).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     nth = "nth"
     while nth in docs.columns:
         nth += "_"

@@ -93,9 +93,28 @@ def test_long_chain(spark):
     assert graph.connected_components(edges.limit(0)).count() == 0
 
 
+def test_near_copies_by_likeness(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(rng.randint(1, 4)))
+    rows, groups = [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.randint(150, 500))]
+        rows.append((10 * g, " ".join(base)))
+        if g % 2:
+            copy = list(base)
+            for _ in range(max(1, len(base) // 80)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((10 * g + 1, " ".join(copy)))
+            groups.append(10 * g + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert all(got[i] in (i, i - 1) if i % 10 else got[i] == i for i, _ in rows)
+    assert sum(got[i] == i - 1 for i in groups) >= 0.95 * len(groups)
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d"), (2, "a b c d"), (3, "something else is here now"), (3, "something else is here now"), (None, "a b c d")]
-    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, fp string, `__nth` int")
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, fp string, nth int")
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, None], key=repr)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakeseek.llm import decontaminate, fingerprints, langid, pieces, pii, secrets, sharding, simhash, urls
+from lakeseek.llm import decontaminate, fingerprints, langid, pieces, pii, secrets, sharding, simhash, suffixes, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_language_id": langid.query,
     "op3_decontamination": decontaminate.query,
     "op4_url_filters": urls.query,
+    "op5_suffix_dedup": suffixes.query,
     "op6_sentencepiece": pieces.query,
     "op7_simhash": simhash.query,
     "op8_sharding": sharding.query,

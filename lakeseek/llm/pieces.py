@@ -34,9 +34,9 @@ from lakeseek.llm.common import read_table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-MEMO = 200_000
+MEMO = 400_000
 PAIRS = 1_000_000
-_START, _NONE, _BYTES = -1, -2, -3
+_NONE, _BYTES = -2, -3
 
 
 def load(path: str = MODEL) -> dict:
@@ -88,61 +88,66 @@ class Transducer:
         return parts
 
     def follows(self, u: int, v: int) -> bool:
-        """Whether the arc of piece v may come behind that of piece u."""
-        key = u << 20 | v
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(self.pieces[u] + self.pieces[v]) == [self.pieces[u], self.pieces[v]]
+        """Whether the arc of piece v may come behind that of piece u (the number of pieces: a fresh start)."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        want = [self.pieces[v]] if u == len(self.pieces) else [self.pieces[u], self.pieces[v]]
+        found = self.pairs[u << 20 | v] = self.merged("".join(want)) == want
         return found
 
-    def _alone(self, v: int) -> bool:
-        return self.merged(self.pieces[v]) == [self.pieces[v]]
-
-    def _emit(self, text: str, last: list[int]) -> list[int]:
-        out, at = [], len(text)
-        while at > 0:
-            v = last[at]
-            if v == _BYTES:
-                at -= 1
-                out.extend(self.byte[b] for b in reversed(text[at].encode())) if self.byte else out.append(self.unknown)
-            else:
-                out.append(v)
-                at -= len(self.pieces[v])
-        out.reverse()
-        return out
-
     def shortest_path(self, text: str) -> list[int]:
-        return self._emit(text, self._pair_path(text) if self.bpe else self._weight_path(text))
+        return self._pair_path(text) if self.bpe else self._weight_path(text)
+
+    def _bytes(self, c: str) -> list[int]:
+        return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
 
     def _pair_path(self, text: str) -> list[int]:
-        n, root, follows, pairs = len(text), self.root[0], self.follows, self.pairs
-        last = [_NONE] * (n + 1)
-        last[0] = _START
-        for j in range(n):
-            u = last[j]
-            if u == _NONE:
-                continue
-            node, k = root.get(text[j]), j + 1
+        """The one path of finite weight, depth first with the longest arc in front.
+
+        A finite path to a position is the only one, so a position that leads nowhere is never
+        entered again and each position's arcs are tried once.
+        """
+        n, root, follows, pairs, fresh = len(text), self.root[0], self.follows, self.pairs, len(self.pieces)
+        path: list[int] = []
+        trail: list[tuple[int, int, list]] = []
+        dead: set[int] = set()
+        at, u = 0, fresh
+        while at < n:
+            node, k, arcs = root.get(text[at]), at + 1, []
             if node is None or node[1][0] == _NONE:
-                last[k] = _BYTES  # such a character merges with nothing
-                continue
+                arcs.append((k, _BYTES))  # such a character merges with nothing
+                node = None
             while node is not None:
                 v = node[1][0]
-                if v >= 0 and last[k] == _NONE:
-                    if u >= 0:
-                        fits = pairs.get(u << 20 | v)
-                        fits = follows(u, v) if fits is None else fits
-                    else:
-                        fits = k == j + 1 or self._alone(v)
-                    if fits:
-                        last[k] = v
+                if v >= 0:
+                    arcs.append((k, v))
                 if k == n:
                     break
                 node = node[0].get(text[k])
                 k += 1
-        return last
+            while True:
+                row, to = u << 20, at
+                while arcs:
+                    k, v = arcs.pop()
+                    if k in dead:
+                        continue
+                    if v != _BYTES:
+                        fits = pairs.get(row | v)
+                        if not (follows(u, v) if fits is None else fits):
+                            continue
+                    to = k
+                    break
+                if to > at:
+                    trail.append((at, u, arcs))
+                    path.append(v)
+                    at, u = to, fresh if v == _BYTES else v
+                    break
+                dead.add(at)
+                at, u, arcs = trail.pop()
+                path.pop()
+        if _BYTES not in path:
+            return path
+        return [i for (place, _, _), v in zip(trail, path) for i in (self._bytes(text[place]) if v == _BYTES else (v,))]
 
     def _weight_path(self, text: str) -> list[int]:
         n, root = len(text), self.root[0]
@@ -160,7 +165,13 @@ class Transducer:
                     break
                 node = node[0].get(text[k])
                 k += 1
-        return last
+        out, at = [], n
+        while at > 0:
+            v = last[at]
+            out.extend(reversed(self._bytes(text[at - 1])) if v == _BYTES else (v,))
+            at -= 1 if v == _BYTES else len(self.pieces[v])
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

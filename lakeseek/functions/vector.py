@@ -30,4 +30,4 @@ def words(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda x: x != "")

@@ -1,9 +1,9 @@
 """Removal of byte strings of 400 that start anywhere else, over sampled sorted suffixes.
 
-Sampling. Every start s of a 400-byte string looks at the 16-byte grams that begin at s .. s + 255; the
+Sampling. Every start s of a 400-byte string looks at the 16-byte grams that begin at s .. s + 319; the
 leftmost least gram is its anchor. Equal strings have their anchors at equal places, so repeats
-can only be found among suffixes that begin at anchors: about one position in 128. An anchor owns the
-run of starts that chose it, and the first 145 bytes of its suffix lie in all their strings.
+can only be found among suffixes that begin at anchors: about one position in 160. An anchor owns the
+run of starts that chose it, and the first 81 bytes of its suffix lie in all their strings.
 
 Sorting. Map tasks sort the anchored suffixes, collapse equal ones and front-code them into runs (length
 of the prefix shared with the one before, then the rest), dealt out by a hash of the suffix so that a
@@ -31,17 +31,21 @@ import struct
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeseek.llm.common import MAX_CHUNK_BYTES, _powers, _VALUES, checkpointed, chunks_by_bytes, mix64, read_table
 
-LENGTH, WINDOW, GRAM, CLASS = 400, 256, 16, 64
+LENGTH, WINDOW, GRAM, CLASS = 400, 320, 16, 64
 PREFIX = LENGTH - WINDOW + 1
 KEY = LENGTH - CLASS + 1
 SLICE = MAX_CHUNK_BYTES
 RUN_ROWS = 40_000
+FILTER_BITS = 1 << 25
 
 
 class Hashed:
@@ -68,9 +72,11 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.arange(len(part) - GRAM + 1)
         least = (h.of(at, at + GRAM) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
         step = 1
-        while step < WINDOW:
+        while 2 * step <= WINDOW:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
+        if step < WINDOW:  # two overlapping runs of ``step`` grams cover the window
+            least = np.minimum(least[: len(least) - (WINDOW - step)], least[WINDOW - step :])
         least = least[: min(SLICE, n)]
         chosen = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + x
         starts = np.arange(len(least)) + x
@@ -191,10 +197,10 @@ def _run_batches(buckets: int):
         for s in held:
             parts.setdefault(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") % buckets, []).append(s)
         names = sorted(parts)
-        runs = []
+        runs, pack = [], zstandard.ZstdCompressor(level=1).compress
         for b in names:
             parts[b].sort()
-            runs.append(front_coded(parts[b], [held[s] for s in parts[b]]))
+            runs.append(pack(front_coded(parts[b], [held[s] for s in parts[b]])))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(runs, pa.binary())], ["bucket", "run"])
 
     def work(batches):
@@ -225,10 +231,11 @@ def _run_batches(buckets: int):
 
 def _merge_batches(batches):
     """Hashes of the suffixes that come more than once, from runs sorted by bucket."""
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def shared(runs):
         found, before, total = [], None, 0
-        for suffix, known, count in merged([read_run(r) for r in runs]):
+        for suffix, known, count in merged([read_run(unpack(r)) for r in runs]):
             if known == len(suffix) == len(before or b""):
                 total += count
             else:
@@ -351,6 +358,27 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("b1"), F.xxhash64(F.lit("2"), text).alias("b2"))
 
 
+def _maybe_in(marks: DataFrame, key: str):
+    """A test that is true for all values of the hash ``key`` in ``marks`` and for few others, so that few rows are shuffled.
+
+    A bit map of fixed size (FILTER_BITS) is summed up by Spark and broadcast; as it fills up with a growing
+    corpus the test lets more through, which costs a shuffle of more rows and nothing else.
+    """
+    place = F.pmod(key, F.lit(FILTER_BITS))
+    words = marks.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod({key}, {FILTER_BITS}) % 64))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = marks.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf(T.BooleanType())
+    def test(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(np.int64) % FILTER_BITS
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return test(key)
+
+
 def shared_suffixes(rows: DataFrame) -> DataFrame:
     """rh of the anchored suffixes that come more than once in ``rows`` (text, b1, b2)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -367,7 +395,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         long_rows.select("text", "b1", "b2").mapInArrow(_anchor_batches, "rh long, b1 long, b2 long, anchor long")
         .join(shared, "rh", "left_semi").groupBy("b1", "b2").agg(F.collect_set("anchor").alias("marks"))
     )
-    texts = long_rows.groupBy("b1", "b2").agg(F.first("text").alias("text"))
+    marks = _written(marks)
+    texts = long_rows.where(_maybe_in(marks, "b1")).groupBy("b1", "b2").agg(F.first("text").alias("text"))
     table = _written(texts.join(marks, ["b1", "b2"]))
 
     place = F.xxhash64("b1", "b2", "s0")
@@ -379,12 +408,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         "b1", "b2", "s0", "s1", (F.col("n") > 1).alias("whole"),
         ((F.col("contents") > 1) & ((F.col("n") == 1) | (F.col("place") == F.col("first")))).alias("open"),
     ).where("whole or open")
-    pieces_of = checkpointed(told.groupBy("b1", "b2").agg(F.collect_list(F.struct("s0", "s1", "whole", "open")).alias("pieces")))
+    pieces_of = _written(told.groupBy("b1", "b2").agg(F.collect_list(F.struct("s0", "s1", "whole", "open")).alias("pieces")))
 
     opened = table.select("b1", "b2", "text").join(pieces_of.where("exists(pieces, p -> p.open)"), ["b1", "b2"])
-    starts = checkpointed(opened.mapInArrow(_start_batches, "h1 long, h2 long, b1 long, b2 long, s long"))
-    again = starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = starts.join(again, ["h1", "h2"], "left_semi").select("b1", "b2", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
+    starts = _written(opened.mapInArrow(_start_batches, "h1 long, h2 long, b1 long, b2 long, s long"))
+    again = _written(starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    single = starts.where(_maybe_in(again, "h1")).join(again, ["h1", "h2"], "left_semi").select("b1", "b2", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
     whole = pieces_of.select("b1", "b2", F.explode("pieces").alias("p")).where("p.whole").select("b1", "b2", F.col("p.s0").alias("lo"), (F.col("p.s1") + LENGTH).alias("hi"))
     gone = single.unionByName(whole).groupBy("b1", "b2").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     cut = table.select("b1", "b2", "text").join(gone, ["b1", "b2"]).mapInArrow(_cut_batches, "b1 long, b2 long, n_removed long, n_spans long, kept_sha256 string")

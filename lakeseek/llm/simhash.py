@@ -36,6 +36,7 @@ from lakeseek.llm.graph import connected_components
 
 SEED, WIDTH, RADIUS, BLOCKS, PIVOTS, DENSE = 42, 3, 3, 6, 16, 4096
 PIECE_BYTES = 1 << 20
+BROADCAST_GROUPS = 100_000
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0d]")
 _ONES = np.uint64(0x0101010101010101)
 
@@ -226,13 +227,18 @@ def close_edges(nodes: DataFrame, coarse: list[int] | None = None, finer=finer_m
         return F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in mask_list))
 
     dealt = nodes.select("fp", F.explode(under(coarse)).alias("at")).select("at.mask", "at.key", "fp")
-    dense = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("mask", "key", F.lit(True).alias("dense"))
-    known = dealt.join(dense, ["mask", "key"], "left")
-    split = None
-    for m in coarse:
-        split = F.when(F.col("mask") == _signed(m), under(finer(m))) if split is None else split.when(F.col("mask") == _signed(m), under(finer(m)))
-    again = known.where("dense").select("fp", F.explode(split).alias("at")).select("at.mask", "at.key", "fp")
-    groups = known.where("dense is null").select("mask", "key", "fp").unionByName(again)
+    dense = checkpointed(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("mask", "key", F.lit(True).alias("dense")))
+    n_dense = dense.count()
+    if n_dense:
+        # few groups are that large; up to BROADCAST_GROUPS of them (16 bytes each) are broadcast, more are shuffled
+        known = dealt.join(F.broadcast(dense) if n_dense <= BROADCAST_GROUPS else dense, ["mask", "key"], "left")
+        split = None
+        for m in coarse:
+            split = F.when(F.col("mask") == _signed(m), under(finer(m))) if split is None else split.when(F.col("mask") == _signed(m), under(finer(m)))
+        again = known.where("dense").select("fp", F.explode(split).alias("at")).select("at.mask", "at.key", "fp")
+        groups = known.where("dense is null").select("mask", "key", "fp").unionByName(again)
+    else:
+        groups = dealt
     return groups.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_link_batches(pivots(), radii), "u long, v long")
 
 

@@ -37,9 +37,9 @@ def _walks() -> np.ndarray:
     return _WALKS[0]
 
 
-def signatures(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Low bits of the densified bins (texts x BINS), and which texts have words."""
-    row, h = shingle_hashes(texts, WIDTH)
+def signatures(texts: list, shingles: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Low bits of the densified bins (texts x BINS), and which texts have words; ``shingles`` are those of the texts if known."""
+    row, h = shingles or shingle_hashes(texts, WIDTH)
     n = len(texts)
     table = np.full(n * BINS, _EMPTY, np.uint64)
     np.minimum.at(table, row * BINS + (h >> np.uint64(55)).astype(np.int64), h & np.uint64((1 << 55) - 1))

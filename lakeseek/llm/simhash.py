@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeseek.llm import fingerprints as minhash
-from lakeseek.llm.common import checkpointed, chunks_by_bytes, read_table
+from lakeseek.llm.common import checkpointed, chunks_by_bytes, mix64, read_table, shingle_hashes
 from lakeseek.llm.graph import connected_components
 
 SEED, WIDTH, RADIUS, BLOCKS, PIVOTS, DENSE = 42, 3, 3, 6, 16, 4096
@@ -263,52 +263,198 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near copies by likeness: sampled-bit masks, bits in each, and the radii swept.
-TABLES, TABLE_BITS, NEAR_RADII, NEAR_WIDTH, LIKENESS = 64, 16, (3, 8, 14), 5, 0.8
+#: For near copies by likeness. Sets of likeness 0.8 share one of the first fifth (and one) of their shingles in
+#: any order common to all; LEAST_KEYS are dealt at least, for short texts all.
+LIKENESS, LEAST_KEYS = 0.8, 32
+#: Shingles seen in LATE_COUNT of SAMPLE_DOCS texts, at most LATE_MOST of them, come last in the order.
+SAMPLE_DOCS, LATE_COUNT, LATE_MOST = 20_000, 3, 200_000
+#: Members of a group that are compared in one piece.
+NEAR_DENSE = 1024
+_PAIRS = np.uint64(0x5555555555555555)
+#: Bins in which signatures of that likeness differ at most.
+_APART = max(d for d in range(minhash.BINS) if (1 - d / minhash.BINS - 2.0**-minhash.BITS) / (1 - 2.0**-minhash.BITS) >= LIKENESS)
 
 
-def sampled_masks() -> list[int]:
-    rng = np.random.default_rng(13)
-    return [sum(1 << int(b) for b in rng.choice(64, TABLE_BITS, replace=False)) for _ in range(TABLES)]
+def late_shingles(docs: DataFrame) -> np.ndarray:
+    """Common shingles, rarest first, by a sample. They only order the shingles: which pairs meet does not hang on them, the work does."""
+    n = docs.count()
 
-
-def sampled_finer(mask: int) -> list[int]:
-    rng = np.random.default_rng(mask % (1 << 32))
-    rest = [b for b in range(64) if not mask >> b & 1]
-    return [mask | sum(1 << int(b) for b in rng.choice(rest, 8, replace=False)) for _ in range(12)]
+    def work(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in chunks_by_bytes(texts):
+                row, h = shingle_hashes(texts[lo:hi], minhash.WIDTH)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
+
+    seen = docs.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, n)), 1).mapInArrow(work, "h long")
+    common = seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LATE_COUNT).orderBy(F.desc("n"), "h").limit(LATE_MOST)
+    return common.select("h").toArrow()["h"].to_numpy().view(np.uint64)[::-1].copy()
+
+
+def first_shingles(row: np.ndarray, h: np.ndarray, n: int, late: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the first distinct shingles of each of ``n`` texts; ``late`` are sorted hashes and their ranks."""
+    rank = np.zeros(len(h), np.int64)
+    if len(late[0]):
+        at = np.minimum(np.searchsorted(late[0], h), len(late[0]) - 1)
+        rank = np.where(late[0][at] == h, late[1][at], 0)
+    order = np.lexsort((h, rank, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    row, h = row[new], h[new]
+    size = np.bincount(row, minlength=n)
+    kept = np.minimum(size, np.maximum(size // 5 + 1, LEAST_KEYS))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    return np.concatenate([[0], np.cumsum(kept)]), h[place < kept[row]]
+
+
+def _runs(batches, keys: list[str], rows: int = 50_000):
+    """The columns of sorted batches as arrays of at least ``rows`` rows that cut no run of equal keys."""
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and count >= rows:
+            last = [held[-1].column(k)[-1].as_py() for k in keys]
+            new = np.flatnonzero(np.any([batch.column(k).to_numpy() != x for k, x in zip(keys, last)], axis=0))
+            cut = int(new[0]) if len(new) else batch.num_rows
+            if cut < batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, count, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        count += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meetings(batches):
+    """Groups of at least two nodes with a key in common, of rows (key, node) sorted so; equal groups of a run once."""
+    for table in _runs(batches, ["key"]):
+        key, node = (table[k].to_numpy() for k in ("key", "node"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        # named by its members, so that keys with the same members make one group
+        name = mix64(np.add.reduceat(mix64(node.view(np.uint64)), first)).view(np.int64)
+        _, once = np.unique(name, return_index=True)
+        kept = np.zeros(len(first), bool)
+        kept[once] = True
+        kept &= size > 1
+        inside = np.repeat(kept, size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[inside]), pa.array(np.repeat(size, size)[inside]), pa.array(node[inside])], ["grp", "n", "node"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    apart = a ^ b
+    return np.bitwise_count((apart | apart >> np.uint64(1)) & _PAIRS).sum(-1) <= _APART
+
+
+def alike_forest(sig: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Alike pairs that connect what all alike pairs connect; members of one label are connected already."""
+    label, edges = label.copy(), []
+    left = len(np.unique(label)) - 1
+    for i in range(len(sig) - 1):
+        if not left:
+            break
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        for x in j[_alike(sig[i], sig[j])].tolist():
+            if label[x] != label[i]:
+                edges.append((i, x))
+                label[label == label[x]] = label[i]
+                left -= 1
+    return edges
+
+
+def _verified(batches):
+    """Edges between alike nodes of rows (grp, part, node, label, sig) sorted by group and part."""
+    for table in _runs(batches, ["grp", "part"]):
+        grp, part, node, label = (table[k].to_numpy() for k in ("grp", "part", "node", "label"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(len(node), -1)
+        first = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.append(first, len(grp)))
+        twos = first[size == 2]
+        twos = twos[_alike(sig[twos], sig[twos + 1])]
+        us, vs = [twos], [twos + 1]
+        for lo, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            edges = np.array(alike_forest(sig[lo : lo + m], label[lo : lo + m]), np.int64).reshape(-1, 2) + lo
+            us.append(edges[:, 0]), vs.append(edges[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (us, vs)], ["u", "v"])
+
+
+def alike_edges(found: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the alike nodes of ``found`` (node, sig, keys). Only verified pairs connect.
+
+    A group of over NEAR_DENSE members is first compared in random parts. If that leaves it in several
+    components, members outside its largest are compared with all, block by block.
+    """
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = found.where(F.size("keys") > 0).select("node", "sig").distinct()
+    dealt = found.select("node", "keys").distinct().select(F.explode("keys").alias("key"), "node")
+    met = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "grp long, n long, node long")
+    met = checkpointed(met.distinct())
+
+    def verified(rows: DataFrame) -> DataFrame:
+        return rows.join(sigs, "node").select("grp", "part", "node", "label", "sig").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", "node").mapInArrow(_verified, "u long, v long")
+
+    def pieces(rows):
+        return F.ceil(rows / F.lit(NEAR_DENSE)).cast("long")
+
+    draw = F.xxhash64("grp", "node")
+    edges = checkpointed(verified(met.select("grp", F.pmod(draw, pieces(F.col("n"))).alias("part"), "node", F.col("node").alias("label"))).distinct())
+    dense = met.where(F.col("n") > NEAR_DENSE)
+    if not dense.limit(1).count():
+        return edges
+    star = connected_components(edges).withColumnRenamed("node", "named")
+    placed = checkpointed(dense.join(star, dense["node"] == star["named"], "left").select("grp", "n", "node", F.coalesce("component", "node").alias("label")))
+    counts = placed.groupBy("grp", "label").agg(F.count("*").alias("m"))
+    main = counts.groupBy("grp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n")).where(F.col("n") > F.col("top.m"))
+    main = checkpointed(main.select("grp", F.col("top.label").alias("main"), pieces(F.col("n") - F.col("top.m")).alias("outer"), pieces(F.col("top.m")).alias("inner")))
+    n_open = main.count()
+    if not n_open:
+        return edges
+    rest = placed.drop("n").join(F.broadcast(main) if n_open <= BROADCAST_GROUPS else main, "grp")
+    own = F.pmod(draw, F.when(F.col("label") == F.col("main"), F.col("inner")).otherwise(F.col("outer")))
+    blocks = lambda of, part: F.transform(F.sequence(F.lit(0).cast("long"), F.col(of) - 1), part)
+    # (0, a, b): two blocks outside the largest component; (1, a, b): one outside and one inside
+    outside = F.concat(blocks("outer", lambda o: F.xxhash64(F.lit(0), F.least(o, own), F.greatest(o, own))), blocks("inner", lambda o: F.xxhash64(F.lit(1), own, o)))
+    inside = blocks("outer", lambda o: F.xxhash64(F.lit(1), o, own))
+    dealt = rest.select("grp", F.explode(F.when(F.col("label") == F.col("main"), inside).otherwise(outside)).alias("part"), "node", "label")
+    return edges.unionByName(verified(dealt))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id over links of five-word shingles with a likeness of 0.8 or more.
+    """doc_id and component_id over links of five-word shingles with a likeness of 0.8 or more.
 
-    At that likeness SimHash fingerprints differ by some 10 bits, too many for masks that miss none.
-    Pairs therefore meet under TABLES masks of sampled bits (a pair 10 bits apart meets under at
-    least one with about 95 %), the same pivot sweep connects those within 14 bits, closest first,
-    and each edge is verified by the likeness of one-permutation MinHash signatures.
+    The likeness is that of one-permutation MinHash signatures; rows of equal signatures are one node.
+    Texts meet under each of their first shingles (see LIKENESS), so that no pair of shingle sets of
+    that likeness is missed, and members of a group are connected by verified pairs alone.
     """
+    last = late_shingles(docs)
+    order = np.argsort(last)
+    late = (last[order], order + 1)
 
     def work(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fps, sigs = [], []
             for lo, hi in chunks_by_bytes(texts):
-                fps.append(simhash(texts[lo:hi], NEAR_WIDTH))
-                sigs += minhash.packed(*minhash.signatures(texts[lo:hi]))
-            fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sigs, pa.string())], ["doc_id", "fp", "sig"])
-
-    def alike(batches):
-        for batch in batches:
-            a, b = ([bytes.fromhex(x) for x in batch.column(k).to_pylist()] for k in ("a", "b"))
-            good = [minhash.packed_likeness(x, y) >= LIKENESS for x, y in zip(a, b)]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), T.StructField("sig", T.StringType())])
-    found = checkpointed(docs.select("doc_id", "text").mapInArrow(work, schema))
-    nodes = found.groupBy("fp").agg(F.min("sig").alias("sig"))
-    edges = close_edges(nodes.select("fp"), sampled_masks(), sampled_finer, NEAR_RADII).distinct()
-    paired = edges.join(nodes.select(F.col("fp").alias("u"), F.col("sig").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("sig").alias("b")), "v")
-    return _labelled(found, paired.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long"))
+                row, h = shingle_hashes(texts[lo:hi], minhash.WIDTH)
+                sigs = [bytes.fromhex(x) for x in minhash.packed(*minhash.signatures(texts[lo:hi], (row, h)))]
+                offsets, first = first_shingles(row, h, hi - lo, late)
+                node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sigs], np.uint64).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(node), pa.array(sigs, pa.binary()), lists], ["doc_id", "node", "sig", "keys"])
+        pa.default_memory_pool().release_unused()
+
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("node", T.LongType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    found = checkpointed(docs.select("doc_id", "text").mapInArrow(work, T.StructType([T.StructField(*k) for k in kinds])))
+    edges = alike_edges(found.select("node", "sig", "keys"))
+    return _labelled(found.select("doc_id", F.col("node").alias("fp")), edges).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -119,3 +119,38 @@ def test_one_of_each_keeps_columns(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, None], key=repr)
     assert (np.bitwise_count(simhash.pivots()) > 16).all()
+
+
+def near_pairs(spark, rows):
+    """Components of near_copies, and of brute force over the same signatures."""
+    low, has = simhash.minhash.signatures([t for _, t in rows])
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        alike = simhash.minhash.likeness(low, has, np.repeat(low[a : a + 1], len(rows), 0), np.repeat(has[a : a + 1], len(rows))) >= 0.8
+        for b in np.flatnonzero(alike).tolist():
+            x, y = label[a], label[b]
+            if x != y:
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    want = {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}, want
+
+
+def chain(rng, name, n, step, length):
+    """Texts of ``n`` words, each without the first ``step`` words of the one before."""
+    line = [f"{name}{rng.getrandbits(40):x}" for _ in range(n + step * length)]
+    return [" ".join(line[k * step : k * step + n]) for k in range(length)]
+
+
+def test_unlike_neighbours_hide_no_near_copy(spark):
+    rng = random.Random(21)
+    # likeness 0.88 to one text and 0.68 to two others within 14 bits, in many families
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{rng.getrandbits(30):x}" for _ in range(300)]
+        for share in (0, 12, 40, 44, 48):
+            new = list(base)
+            new[150 - share : 150 + share] = [f"x{rng.getrandbits(40):x}" for _ in range(2 * share)]
+            texts.append(" ".join(new))
+    got, want = near_pairs(spark, list(enumerate(texts)))
+    assert got == want

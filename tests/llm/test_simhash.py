@@ -154,3 +154,12 @@ def test_unlike_neighbours_hide_no_near_copy(spark):
             texts.append(" ".join(new))
     got, want = near_pairs(spark, list(enumerate(texts)))
     assert got == want
+
+
+def test_equal_simhash_is_no_copy(spark):
+    rng = random.Random(22)
+    line = " ".join(f"w{rng.getrandbits(30):x}" for _ in range(15))
+    rows = [(i, f"{(line + ' ') * 300}" + " ".join(f"t{rng.getrandbits(40):x}" for _ in range(80))) for i in range(12)]
+    assert len(set(simhash.simhash([t for _, t in rows], 5).tolist())) == 1
+    got, want = near_pairs(spark, rows)
+    assert got == want == {i: i for i in range(12)}

@@ -163,3 +163,22 @@ def test_equal_simhash_is_no_copy(spark):
     assert len(set(simhash.simhash([t for _, t in rows], 5).tolist())) == 1
     got, want = near_pairs(spark, rows)
     assert got == want == {i: i for i in range(12)}
+
+
+def test_no_near_copy_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_DENSE", 8, raising=False)
+    rng = random.Random(23)
+    passage = " ".join(f"p{rng.getrandbits(30):x}" for _ in range(60))
+    rows = [(1000, None), (1001, " \n"), (1002, "a b"), (1003, "A  b"), (1004, "a b c d e f g")]
+    for g in range(60):
+        base = [f"g{g}w{rng.getrandbits(30):x}" for _ in range(rng.choice([8, 30, 90, 300]))]
+        for k in range(4):
+            new = list(base)
+            for at in rng.sample(range(len(new)), round(0.006 * k * len(new))):
+                new[at] = f"x{rng.getrandbits(40):x}"
+            rows.append((len(rows), f"{passage * (g % 2)} {' '.join(new)}"))
+    rows += [(2000 + i, t) for i, t in enumerate(chain(rng, "c", 200, 10, 40))]
+    got, want = near_pairs(spark, rows)
+    assert got == want
+    monkeypatch.setattr(simhash, "NEAR_DENSE", 4096)
+    assert near_pairs(spark, rows)[0] == got

@@ -11,7 +11,9 @@ passage collides. Measured recall over items of 15 to 59 words: 0.99 with 10 % o
 
 A collision of a text window with an item window says where the whole item would lie. Two
 collisions from different windows of the item that agree on it, give or take a fifth of the item's
-length, make a candidate. The exact edit distance between the item and the best substring of that
+length, make a candidate; of an item whose windows begin close together one does. An item of under
+SHORT bytes is cut into one piece more than it may have edits, and each place of a piece in a text
+is a candidate, so that none is missed. The exact edit distance between the item and the best substring of that
 item-sized stretch (a fifth wider on both sides) then decides: likeness 1 - distance / length of 0.8 or
 more is a leak. No pair is accepted without it.
 
@@ -41,8 +43,11 @@ SAMPLED = 12
 REPEATS = (32, 32, 40, 40, 48, 48, 64, 80)
 STEPS = max(REPEATS)
 _BITS = 22
-#: Two collisions confirm each other if their item windows begin APART bytes apart; each looks at the next few places.
-APART, NEIGHBOURS = 6, 8
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Two collisions confirm each other if their item windows begin APART bytes apart.
+APART = 6
+#: Bytes that a window leaves of its item; items of under SHORT bytes are found by pieces, of PIECE_CODE bytes at most.
+WINDOW, SHORT, PIECE_CODE = 24, 48, 8
 
 
 def normal(text: str | None) -> bytes:
@@ -74,6 +79,35 @@ def signatures(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return found * np.uint32(0x2C1B3C6D)
 
 
+def codes(buf: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes from each place of ``buf`` as a number."""
+    n = max(0, len(buf) - length + 1)
+    found = np.zeros(n, np.uint64)
+    for i in range(length):
+        found |= buf[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    return found
+
+
+def spread(ranges_from: np.ndarray, ranges_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range number and element of every element of the ranges."""
+    n = ranges_to - ranges_from
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(n.sum()) + np.repeat(ranges_from - np.cumsum(n) + n, n)
+
+
+def range_extremes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest of ``values[lo:hi]`` of each (non-empty) range, by doubling."""
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    least, most = np.empty_like(values), np.empty_like(values)
+    low, high = values, values
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        a, b = lo[at], hi[at] - (1 << k)
+        least[at], most[at] = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        low, high = np.minimum(low[: -(1 << k)], low[1 << k :]), np.maximum(high[: -(1 << k)], high[1 << k :])
+    return least, most
+
+
 def word_starts(buf: np.ndarray) -> np.ndarray:
     blank = buf == 32
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
@@ -114,15 +148,33 @@ class Index:
         self.items = [(i, t, set(t.split())) for i, t in ((i, normal(t)) for i, t in items) if len(t.split()) >= LEAST_WORDS]
         self.longest = max((len(t) for _, t, _ in self.items), default=0)
         keys, owners, offsets = [], [], []
+        pieces: dict[int, list] = {}
         for k, (_, text, _) in enumerate(self.items):
+            if len(text) < SHORT:
+                chars = text.decode("utf-8", "ignore")
+                cuts = [len(chars) * i // (len(chars) // 5 + 1) for i in range(len(chars) // 5 + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    piece = chars[a:b].encode()[:PIECE_CODE]
+                    pieces.setdefault(len(piece), []).append((int.from_bytes(piece, "little"), k, len(chars[:a].encode())))
+                continue
             buf = np.frombuffer(text + b"\0" * (STEPS + 1), np.uint8)
             starts = word_starts(buf)
-            starts = starts[starts + min(24, len(text)) <= len(text)]
+            starts = starts[starts + WINDOW <= len(text)]
             keys.append(signatures(buf, starts))
             owners.append(np.full(len(starts), k))
             offsets.append(starts)
         self.tables = []
-        self.slack = np.array([len(t) // 5 + 16 for _, t, _ in self.items], np.int64)
+        self.slack = np.array([len(t) // 5 * (4 if len(t) < SHORT else 1) + 16 for _, t, _ in self.items], np.int64)
+        #: Items whose windows all begin within WINDOW bytes: two may not both be clean, or there is only one.
+        self.single = np.zeros(len(self.items), bool)
+        for starts, own in zip(offsets, owners):
+            if len(starts):
+                self.single[own[0]] = starts[-1] - starts[0] < WINDOW
+        self.pieces = []
+        for length, found in sorted(pieces.items()):
+            code = np.array([x[0] for x in found], np.uint64)
+            order = np.argsort(code, kind="stable")
+            self.pieces.append((length, code[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order]))
         if keys:
             owner, offset, key = np.concatenate(owners), np.concatenate(offsets), np.concatenate(keys, 1)
             for r in range(len(REPEATS)):
@@ -139,7 +191,7 @@ class Index:
             if best.get(k) == 1.0:
                 continue
             _, item, words = self.items[k]
-            slack = len(item) // 5 + 16
+            slack = int(self.slack[k])
             if k in done and place - done[k] < slack // 2:
                 continue
             lo, hi = max(0, place - slack), min(len(text), place + len(item) + slack)
@@ -185,8 +237,24 @@ class Index:
             flush()
         return out
 
-    def _collisions(self, buf: np.ndarray, offsets: np.ndarray):
-        """(part, item, place where the item would begin in the part) that two windows of the item agree on."""
+    def _collisions(self, buf: np.ndarray, offsets: np.ndarray) -> list:
+        """(part, item, place where the item would begin in the part) that two windows of the item agree on, or a piece of a short item says."""
+        return self._agreed(buf, offsets) + self._short(buf, offsets)
+
+    def _short(self, buf: np.ndarray, offsets: np.ndarray) -> list:
+        found = []
+        for length, keys, owner, offset in self.pieces:
+            code = codes(buf, length)
+            bitmap = np.zeros(1 << _BITS, bool)
+            bitmap[(keys * _SPREAD) >> np.uint64(64 - _BITS)] = True
+            at = np.flatnonzero(bitmap[(code * _SPREAD) >> np.uint64(64 - _BITS)])
+            row, k = spread(np.searchsorted(keys, code[at]), np.searchsorted(keys, code[at], "right"))
+            start = at[row]
+            part = np.searchsorted(offsets, start, "right") - 1
+            found.append(np.stack([part, owner[k], start - offsets[part] - offset[k]], 1))
+        return np.unique(np.concatenate(found), axis=0).tolist() if found else []
+
+    def _agreed(self, buf: np.ndarray, offsets: np.ndarray) -> list:
         starts = word_starts(buf)
         if not len(starts) or not self.tables:
             return []
@@ -194,21 +262,22 @@ class Index:
         found = []
         for one, (keys, owner, offset, bitmap) in zip(signatures(buf, starts), self.tables):
             at = np.flatnonzero(bitmap[one >> np.uint32(32 - _BITS)])
-            lo, hi = np.searchsorted(keys, one[at]), np.searchsorted(keys, one[at], "right")
-            n = hi - lo
-            row = np.repeat(at, n)
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, k = spread(np.searchsorted(keys, one[at]), np.searchsorted(keys, one[at], "right"))
+            row = at[row]
             part = part_of[row]
             found.append(np.stack([part, owner[k], starts[row] - offsets[part] - offset[k], offset[k]], 1))
         rows = np.concatenate(found)
+        if not len(rows):
+            return []
         rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        # a clean window collides in every repetition
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
         slack = self.slack[rows[:, 1]]
-        good = np.zeros(len(rows), bool)
-        for step in range(1, NEIGHBOURS + 1):
-            x, y = rows[:-step], rows[step:]
-            agree = (x[:, :2] == y[:, :2]).all(1) & (y[:, 2] - x[:, 2] <= slack[: len(x)]) & (np.abs(y[:, 3] - x[:, 3]) >= APART)
-            good[:-step] |= agree
-            good[step:] |= agree
+        pair = np.cumsum(np.concatenate([[0], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+        place = rows[:, 2] - rows[:, 2].min()
+        line = pair * (int(place.max()) + 2 * int(slack.max()) + 1) + place
+        least, most = range_extremes(rows[:, 3], np.searchsorted(line, line - slack), np.searchsorted(line, line + slack, "right"))
+        good = (most - rows[:, 3] >= APART) | (rows[:, 3] - least >= APART) | self.single[rows[:, 1]]
         return np.unique(rows[good][:, :3], axis=0).tolist()
 
 

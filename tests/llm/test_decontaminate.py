@@ -86,3 +86,25 @@ def test_whole_table_against_substrings(spark):
     texts, items = {d.doc_id: d.text for d in docs}, {b.item_id: b.text for b in bench}
     for (d, i), like in got.items():
         assert dc.distance_within(dc.normal(items[i]).decode(), dc.normal(texts[d]).decode()) <= 0.2 * len(dc.normal(items[i]).decode()) and like >= 0.8
+
+
+def test_short_items():
+    rng = random.Random(12)
+    items = [(0, "a b c d e"), (1, "to be or not to be"), (2, "the cat sat on my mat"), (3, "é à ü ö ä î"), (4, "who let these dogs out at noon"), (5, f"{'x' * 90} a b c d")]
+    index = dc.Index(items)
+    around = lambda: words(rng, 40)
+    for i, text in items:
+        assert index.hits([f"{around()} {text} {around()}"])[0].get(i) == 1.0
+    assert 1 in index.hits([f"{around()} to be ox not to be {around()}"])[0]
+
+
+def test_verbatim_items_of_short_words():
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choice(["a", "of", "the", "an", "is", "be", "we", "it", "go", "cat"]) for _ in range(25))) for i in range(200)]
+    hits = dc.Index(items).hits([f"{words(rng, 30)} {t} {words(rng, 30)}" for _, t in items])
+    assert all(h.get(i) == 1.0 for i, h in enumerate(hits))
+    # collisions in all repetitions at offsets 0, 4 and 8, as in a short clean stretch
+    index = dc.Index([(0, "abc def ghi jkl mno pqr stu vwx yza bcd efg hij klm nop qrs tuv")])
+    text = dc.normal("abc def ghi jkl mno pqr stu vwx") + b"\0" * (dc.STEPS + 1)
+    found = index._collisions(dc.np.frombuffer(text, dc.np.uint8), dc.np.array([0, len(text)]))
+    assert [0, 0, 0] in found

@@ -15,7 +15,7 @@ length, make a candidate; of an item whose windows begin close together one does
 SHORT bytes is cut into one piece more than it may have edits, and each place of a piece in a text
 is a candidate, so that none is missed. The exact edit distance between the item and the best substring of that
 item-sized stretch (a fifth wider on both sides) then decides: likeness 1 - distance / length of 0.8 or
-more is a leak. No pair is accepted without it.
+more is a leak; a stretch with fewer of the item's grams than any leak has isn't measured. No pair is accepted without it.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes
 over the documents. Long texts are read in pieces that overlap by more than any item.
@@ -27,6 +27,9 @@ each; empty tables give no hits.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +51,8 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 APART = 6
 #: Bytes that a window leaves of its item; items of under SHORT bytes are found by pieces, of PIECE_CODE bytes at most.
 WINDOW, SHORT, PIECE_CODE = 24, 48, 8
+#: An edit changes GRAM grams at most, so a leak of an item of n characters shares n - GRAM + 1 - GRAM * (n // 5) of its grams.
+GRAM = 3
 
 
 def normal(text: str | None) -> bytes:
@@ -145,11 +150,11 @@ class Index:
     """Signatures of the windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.items = [(i, t, set(t.split())) for i, t in ((i, normal(t)) for i, t in items) if len(t.split()) >= LEAST_WORDS]
-        self.longest = max((len(t) for _, t, _ in self.items), default=0)
+        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t.split()) >= LEAST_WORDS]
+        self.longest = max((len(t) for _, t in self.items), default=0)
         keys, owners, offsets = [], [], []
         pieces: dict[int, list] = {}
-        for k, (_, text, _) in enumerate(self.items):
+        for k, (_, text) in enumerate(self.items):
             if len(text) < SHORT:
                 chars = text.decode("utf-8", "ignore")
                 cuts = [len(chars) * i // (len(chars) // 5 + 1) for i in range(len(chars) // 5 + 2)]
@@ -164,7 +169,7 @@ class Index:
             owners.append(np.full(len(starts), k))
             offsets.append(starts)
         self.tables = []
-        self.slack = np.array([len(t) // 5 * (4 if len(t) < SHORT else 1) + 16 for _, t, _ in self.items], np.int64)
+        self.slack = np.array([len(t) // 5 * (4 if len(t) < SHORT else 1) + 16 for _, t in self.items], np.int64)
         #: Items whose windows all begin within WINDOW bytes: two may not both be clean, or there is only one.
         self.single = np.zeros(len(self.items), bool)
         for starts, own in zip(offsets, owners):
@@ -186,24 +191,33 @@ class Index:
     def verified(self, text: bytes, places: set[tuple[int, int]]) -> dict[int, float]:
         """Likeness by item number, of those of 0.8 or more."""
         best: dict[int, float] = {}
-        done: dict[int, int] = {}
-        for k, place in sorted(places):
-            if best.get(k) == 1.0:
-                continue
-            _, item, words = self.items[k]
-            slack = int(self.slack[k])
-            if k in done and place - done[k] < slack // 2:
-                continue
-            lo, hi = max(0, place - slack), min(len(text), place + len(item) + slack)
-            piece = text[lo:hi]
-            # 20 % of edits leave some word of the item whole in all but freak cases; a window without any is no leak
-            if 10 * len(words.intersection(piece.split())) < len(words):
+        for k, group in itertools.groupby(sorted(places), lambda x: x[0]):
+            target = self.items[k][1].decode("utf-8", "ignore")
+            grams = Counter(target[i : i + GRAM] for i in range(len(target) - GRAM + 1))
+            least = len(target) - GRAM + 1 - GRAM * (len(target) // 5)
+            size, slack, spans = len(self.items[k][1]), int(self.slack[k]), []
+            for _, place in group:
+                lo, hi = max(0, place - slack), min(len(text), place + size + slack)
+                if spans and hi <= spans[-1][1]:
+                    continue
+                piece = text[lo:hi].decode("utf-8", "ignore")
+                if target in piece:
+                    best[k] = 1.0
+                    break
+                found = {piece[i : i + GRAM] for i in range(len(piece) - GRAM + 1)}
+                if sum(grams[g] for g in found.intersection(grams)) < least:
+                    continue
+                # stretches that overlap are searched as one
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = hi
+                else:
+                    spans.append([lo, hi])
+            if k in best:
                 continue
-            done[k] = place
-            target = item.decode("utf-8", "ignore")
-            like = 1 - distance_within(target, piece.decode("utf-8", "ignore")) / len(target)
-            if like >= LIKENESS:
-                best[k] = max(like, best.get(k, 0.0))
+            for lo, hi in spans:
+                like = 1 - distance_within(target, text[lo:hi].decode("utf-8", "ignore")) / len(target)
+                if like >= LIKENESS:
+                    best[k] = max(like, best.get(k, 0.0))
         return best
 
     def hits(self, texts: list) -> list[dict[int, float]]:

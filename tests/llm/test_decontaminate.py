@@ -108,3 +108,23 @@ def test_verbatim_items_of_short_words():
     text = dc.normal("abc def ghi jkl mno pqr stu vwx") + b"\0" * (dc.STEPS + 1)
     found = index._collisions(dc.np.frombuffer(text, dc.np.uint8), dc.np.array([0, len(text)]))
     assert [0, 0, 0] in found
+
+
+def test_edited_items_without_whole_words():
+    rng = random.Random(14)
+    text = "planet silver garden window bridge stones"
+    leaked = "xx planat silvor gardan windaw bridga stonas yy"
+    assert dc.Index([(0, text)]).verified(leaked.encode(), {(0, 3)}) == {0: 1 - 6 / len(text)}
+    item = words(rng, 30)
+    stretch = ("z" * 40 + item).encode()
+    # the first place is checked in vain, the second holds the passage
+    first = 40 - len(item) // 5 - 16 - 10
+    assert dc.Index([(0, item)]).verified(stretch, {(0, first - len(item) // 2), (0, first), (0, 40)}) == {0: 1.0}
+    around = lambda: words(rng, 40)
+    for _ in range(150):
+        text = words(rng, rng.randint(5, 9))[:47].rsplit(" ", 1)[0]
+        if len(text.split()) < 5:
+            continue
+        leaked = f"{around()} {edited(rng, text, 0.15)} {around()}"
+        like = 1 - slow_distance(text, dc.normal(leaked).decode()) / len(text)
+        assert dc.Index([(0, text)]).hits([leaked])[0] == ({0: like} if like >= 0.8 else {})

@@ -1,16 +1,17 @@
 """Removal of byte strings of 400 that start anywhere else, over sampled sorted suffixes.
 
 Sampling. Every start s of a 400-byte string looks at the 16-byte grams that begin at s .. s + 319; the
-leftmost least gram is its anchor. Equal strings have their anchors at equal places, so repeats
-can only be found among suffixes that begin at anchors: about one position in 160. An anchor owns the
+leftmost least gram (by a 32-bit hash) is its anchor. Equal strings have their anchors at equal places, so
+repeats can only be found among suffixes that begin at anchors: about one position in 130. An anchor owns the
 run of starts that chose it, and the first 81 bytes of its suffix lie in all their strings.
 
 Sorting. Map tasks sort the anchored suffixes, collapse equal ones and front-code them into runs (length
-of the prefix shared with the one before, then the rest), dealt out by a hash of the suffix so that a
-suffix that a third of all documents hold arrives once per run. Tasks combine the runs with a loser
-tree whose nodes keep the common prefix with the last winner: of two heads the one with the longer
-known prefix wins at once, and only equal ones are compared, from behind that prefix. A suffix
-met again is shared; all others are done.
+of the prefix shared with the one before, then the rest). Runs are cut at quantiles of a sample of all suffixes
+and dealt out by range, so the merged ranges are one global order; a suffix that a third of all documents hold
+arrives once per run. Tasks combine the runs of a range with a loser tree whose nodes keep the common prefix
+with the last winner: of two heads the one with the longer known prefix wins at once, and only equal ones are
+compared, from behind that prefix. A suffix whose prefix in common with its neighbour in the order is all of its
+81 bytes is shared; all others are done.
 
 Resolving. The starts of shared anchors are cut into pieces by their distance to the anchor (64 to a
 class). The 337 bytes that all strings of a class contain are its key; a piece whose whole content recurs
@@ -38,61 +39,92 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import MAX_CHUNK_BYTES, _powers, _VALUES, checkpointed, chunks_by_bytes, mix64, read_table
+from lakeseek.llm.common import _powers, _VALUES, bounded_batches, checkpointed, chunks_by_bytes, mix64, read_table
 
 LENGTH, WINDOW, GRAM, CLASS = 400, 320, 16, 64
 PREFIX = LENGTH - WINDOW + 1
 KEY = LENGTH - CLASS + 1
-SLICE = MAX_CHUNK_BYTES
-RUN_ROWS = 40_000
+SLICE = 1 << 17
+#: Suffixes of a task's run, and about as many of a range.
+RUN_ROWS, RANGE_ROWS = 200_000, 100_000
+#: Texts sampled for the ranges: at least SAMPLE_TEXTS, at least one in SAMPLE_SHARE.
+SAMPLE_TEXTS, SAMPLE_SHARE = 2000, 200
 FILTER_BITS = 1 << 25
+_GRAMS = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
+_OTHER = np.random.default_rng(32).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS = -(-PREFIX // 8)
 
 
 class Hashed:
-    """Polynomial prefix sums of a slice of bytes: hashes of any of its substrings."""
+    """Polynomial prefix sums of bytes: 64-bit hashes of any substrings."""
 
-    def __init__(self, part: np.ndarray):
+    def __init__(self, part: np.ndarray, values: np.ndarray = _VALUES):
         p, self.inverse = _powers(len(part) + 1)
         self.total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUES[part] * p[: len(part)], out=self.total[1:])
+        np.cumsum(values[part] * p[: len(part)], out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(part: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the 16-byte grams, by doubling."""
+    h, step = _GRAMS[part], 1
+    for factor in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F):
+        h = h[:-step] * np.uint32(factor) + h[step:]
+        step *= 2
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    return h
+
+
+def window_least(h: np.ndarray) -> np.ndarray:
+    """Least of each WINDOW values, by doubling; two overlapping runs cover what is left."""
+    step = 1
+    while 2 * step <= WINDOW:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    return np.minimum(h[: len(h) - (WINDOW - step)], h[WINDOW - step :]) if step < WINDOW else h
+
+
 def anchors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows (text, anchor, first start, last start), places counted in the buffer, by start."""
     found = []
     for x in range(0, len(buf), SLICE):
         part = buf[x : x + SLICE + WINDOW + GRAM]
-        n = len(part) - GRAM - WINDOW + 2
-        if n <= 0:
+        if len(part) < GRAM + WINDOW - 1:
             break
-        h = Hashed(part)
-        at = np.arange(len(part) - GRAM + 1)
-        least = (h.of(at, at + GRAM) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
-        step = 1
-        while 2 * step <= WINDOW:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        if step < WINDOW:  # two overlapping runs of ``step`` grams cover the window
-            least = np.minimum(least[: len(least) - (WINDOW - step)], least[WINDOW - step :])
-        least = least[: min(SLICE, n)]
-        chosen = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + x
-        starts = np.arange(len(least)) + x
-        text = np.searchsorted(offsets, starts, "right") - 1
-        good = starts + LENGTH <= offsets[text + 1]
-        starts, chosen, text = starts[good], chosen[good], text[good]
-        if len(starts):
-            new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]))
-            last = np.concatenate([new[1:], [len(starts)]]) - 1
-            found.append(np.stack([text[new], chosen[new], starts[new], starts[last]], 1))
+        h = gram_hashes(part)
+        least = window_least(h)[:SLICE]
+        # a run of starts ends where the least value changes or its place is passed
+        passed = h[: len(least)] == least
+        ends = passed.copy()
+        ends[:-1] |= least[1:] != least[:-1]
+        ends[-1] = True
+        last = np.flatnonzero(ends)
+        first = np.concatenate([[0], last[:-1] + 1])
+        chosen = last.copy()
+        ahead = np.flatnonzero(~passed[last])  # their anchor lies behind the run's last start
+        windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+        for k in range(0, len(ahead), 1024):
+            a = first[ahead[k : k + 1024]]
+            chosen[ahead[k : k + 1024]] = a + (windows[a] == least[a][:, None]).argmax(1)
+        found.append(np.stack([first + x, last + x, chosen + x], 1))
     if not found:
         return np.zeros((0, 4), np.int64)
     rows = np.concatenate(found)
-    same = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]))
-    rows[same, 3] = rows[same + 1, 3]  # a run that a slice's end has cut
-    return np.delete(rows, same + 1, 0)
+    new = np.flatnonzero(np.concatenate([[True], rows[1:, 2] != rows[:-1, 2]]))  # else a slice's end has cut the run
+    first, last, chosen = rows[new, 0], rows[np.append(new[1:], len(rows)) - 1, 1], rows[new, 2]
+    # cut at the ends of texts
+    low = np.searchsorted(offsets, first, "right") - 1
+    n = np.searchsorted(offsets, last, "right") - low
+    row = np.repeat(np.arange(len(n)), n)
+    text = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+    text = np.minimum(text, len(offsets) - 2)
+    lo, hi = np.maximum(first[row], offsets[text]), np.minimum(last[row], offsets[text + 1] - LENGTH)
+    good = lo <= hi
+    return np.stack([text, chosen[row], lo, hi], 1)[good]
 
 
 def _bytes_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +141,34 @@ def _long(x: np.ndarray) -> pa.Array:
 # ---- sorted, front-coded runs and their merge ------------------------------------------
 
 
-def front_coded(suffixes: list[bytes], counts: list[int]) -> bytes:
-    """A run of sorted, different suffixes: prefix shared with the one before, length of the rest, count, rest."""
-    out, before = [], b""
-    for s, c in zip(suffixes, counts):
-        k = _shared(before, s, 0)
-        out.append(struct.pack("<HHB", k, len(s) - k, min(c, 2)))
-        out.append(s[k:])
-        before = s
-    return b"".join(out)
+def suffixes_at(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The PREFIX bytes from each place as big-endian words (rows x _WORDS), whose order is that of the bytes."""
+    rows = np.zeros((len(places), 8 * _WORDS), np.uint8)
+    rows[:, :PREFIX] = buf[places[:, None] + np.arange(PREFIX)]
+    return rows.view(">u8").astype(np.uint64)
+
+
+def suffix_hashes(words: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(words), np.uint64)
+    for k in range(_WORDS):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+    return h.view(np.int64)
+
+
+def front_coded(words: np.ndarray, counts: np.ndarray) -> bytes:
+    """A run of sorted, different suffixes: lengths of the prefixes shared with the one before, counts (2: more than one), rests."""
+    rows = words.astype(">u8").view(np.uint8).reshape(len(words), -1)[:, :PREFIX]
+    shared = np.zeros(len(rows), np.uint8)
+    shared[1:] = (rows[1:] != rows[:-1]).argmax(1)
+    rest = rows[np.arange(PREFIX)[None, :] >= shared[:, None]]
+    return struct.pack("<I", len(rows)) + shared.tobytes() + np.minimum(counts, 2).astype(np.uint8).tobytes() + rest.tobytes()
+
+
+def sorted_run(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different suffixes in order, and how often each comes."""
+    words = words[np.lexsort(words.T[::-1])]
+    new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(1)]))
+    return words[new], np.diff(np.append(new, len(words)))
 
 
 def _shared(a: bytes, b: bytes, known: int) -> int:
@@ -132,12 +183,13 @@ def _shared(a: bytes, b: bytes, known: int) -> int:
 
 def read_run(run: bytes):
     """(suffix, prefix shared with the one before, count) of a run."""
-    at, before = 0, b""
-    while at < len(run):
-        k, n, c = struct.unpack_from("<HHB", run, at)
-        before = before[:k] + run[at + 5 : at + 5 + n]
-        at += 5 + n
-        yield before, k, c
+    (n,) = struct.unpack_from("<I", run)
+    at, before = 4 + 2 * n, b""
+    for k, count in zip(run[4 : 4 + n], run[4 + n : at]):
+        to = at + PREFIX - k
+        before = before[:k] + run[at:to]
+        at = to
+        yield before, k, count
 
 
 def merged(runs: list) -> object:
@@ -189,73 +241,99 @@ def merged(runs: list) -> object:
             node //= 2
 
 
-def _run_batches(buckets: int):
-    """Front-coded runs (bucket, run) of the anchored suffixes of the texts."""
+def _sampled_batches(cuts: np.ndarray):
+    """For each range and task a front-coded run (range, run); for each text its anchors (b1, b2, rhs, anchors)."""
 
-    def flush(held: dict[bytes, int]):
-        parts: dict[int, list[bytes]] = {}
-        for s in held:
-            parts.setdefault(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") % buckets, []).append(s)
-        names = sorted(parts)
-        runs, pack = [], zstandard.ZstdCompressor(level=1).compress
-        for b in names:
-            parts[b].sort()
-            runs.append(pack(front_coded(parts[b], [held[s] for s in parts[b]])))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(runs, pa.binary())], ["bucket", "run"])
+    def runs(held: list[np.ndarray]):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        words, counts = sorted_run(np.concatenate(held))
+        piece = np.searchsorted(cuts, words[:, 0], "right")
+        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        packed = [pack(front_coded(words[a:b], counts[a:b])) for a, b in zip(first, np.append(first[1:], len(words)))]
+        n = len(first)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(piece[first].astype(np.int32)), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))],
+            ["range", "run", "b1", "b2", "rhs", "anchors"],
+        )
 
     def work(batches):
-        held: dict[bytes, int] = {}
-        seen: set[int] = set()  # copies of a text within the task count once
+        held, rows = [], 0
         for batch in batches:
-            texts, b1, b2 = batch.column("text").to_pylist(), batch.column("b1").to_pylist(), batch.column("b2").to_pylist()
+            texts, b1, b2 = batch.column("text").to_pylist(), batch.column("b1").to_numpy(), batch.column("b2").to_numpy()
+            once = np.sort(np.unique(np.stack([b1, b2], 1), axis=0, return_index=True)[1])  # copies of a text within the batch count once
+            texts, b1, b2 = [texts[i] for i in once], b1[once], b2[once]
             for lo, hi in chunks_by_bytes(texts):
-                fresh = []
-                for i in range(lo, hi):
-                    key = hash((b1[i], b2[i]))
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(texts[i])
-                buf, offsets = _bytes_of(fresh)
-                raw = buf.tobytes()
-                for a in anchors(buf, offsets)[:, 1].tolist():
-                    s = raw[a : a + PREFIX]
-                    held[s] = held.get(s, 0) + 1
-                if len(held) >= RUN_ROWS:
-                    yield flush(held)
-                    held = {}
-        if held:
-            yield flush(held)
+                buf, offsets = _bytes_of(texts[lo:hi])
+                found = anchors(buf, offsets)
+                words = suffixes_at(buf, found[:, 1])
+                n = hi - lo
+                starts = np.searchsorted(found[:, 0], np.arange(n + 1)).astype(np.int32)
+                rhs = pa.ListArray.from_arrays(pa.array(starts), pa.array(suffix_hashes(words)))
+                places = pa.ListArray.from_arrays(pa.array(starts), pa.array((found[:, 1] - offsets[found[:, 0]]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(b1[lo:hi]), pa.array(b2[lo:hi]), rhs, places], ["range", "run", "b1", "b2", "rhs", "anchors"])
+                held.append(words)
+                rows += len(words)
+                if rows >= RUN_ROWS:
+                    yield runs(held)
+                    held, rows = [], 0
+        if rows:
+            yield runs(held)
 
     return work
 
 
+def _first_words(batches):
+    """The first seven bytes of each different anchored suffix of a text."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for lo, hi in chunks_by_bytes(texts):
+            buf, offsets = _bytes_of(texts[lo:hi])
+            first = np.unique(suffixes_at(buf, anchors(buf, offsets)[:, 1])[:, 0] >> np.uint64(8))
+            yield pa.RecordBatch.from_arrays([_long(first)], ["w"])
+
+
+def range_cuts(rows: DataFrame) -> np.ndarray:
+    """Bounds (first words) of ranges of about RANGE_ROWS suffixes, four a partition at least, from a sample. They balance the tasks; no result hangs on them."""
+    n = rows.count()
+    share = min(1.0, max(SAMPLE_TEXTS / max(1, n), 1 / SAMPLE_SHARE))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.select("text").sample(share, 7).mapInArrow(_first_words, "w long")
+    seen = first.agg(F.count("*").alias("n"), F.percentile_approx("w", [i / 1024 for i in range(1, 1024)], 20_000).alias("q")).first()
+    ranges = max(4 * parts, int(seen["n"] / share / RANGE_ROWS) + 1)
+    # between two of the 1023 quantiles (a number that doesn't grow) ranges divide the span evenly
+    grid = np.array([0, *(seen["q"] or []), (1 << 56) - 1], np.float64)
+    at = np.interp(np.arange(1, ranges) / ranges, np.arange(len(grid)) / (len(grid) - 1), grid)
+    return np.unique(at.astype(np.uint64) << np.uint64(8))
+
+
 def _merge_batches(batches):
-    """Hashes of the suffixes that come more than once, from runs sorted by bucket."""
+    """Hashes of the suffixes that come more than once, from runs sorted by range."""
     unpack = zstandard.ZstdDecompressor().decompress
 
     def shared(runs):
         found, before, total = [], None, 0
         for suffix, known, count in merged([read_run(unpack(r)) for r in runs]):
-            if known == len(suffix) == len(before or b""):
+            if known == PREFIX and before is not None:
                 total += count
             else:
-                if before is not None and total > 1:
+                if total > 1:
                     found.append(before)
                 before, total = suffix, count
-        if before is not None and total > 1:
+        if total > 1:
             found.append(before)
         return found
 
     def out(found):
-        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in found], pa.int64())], ["rh"])
+        buf = np.frombuffer(b"".join(found), np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array(suffix_hashes(suffixes_at(buf, np.arange(len(found)) * PREFIX)))], ["rh"])
 
-    bucket, runs = None, []
+    now, runs = None, []
     for batch in batches:
-        for b, run in zip(batch.column("bucket").to_pylist(), batch.column("run").to_pylist()):
-            if b != bucket and runs:
+        for b, run in zip(batch.column("range").to_pylist(), batch.column("run").to_pylist()):
+            if b != now and runs:
                 yield out(shared(runs))
                 runs = []
-            bucket = b
+            now = b
             runs.append(run)
     if runs:
         yield out(shared(runs))
@@ -264,18 +342,6 @@ def _merge_batches(batches):
 # ---- resolving starts -------------------------------------------------------------------
 
 
-def _anchor_batches(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        b1, b2 = batch.column("b1").to_numpy(), batch.column("b2").to_numpy()
-        for lo, hi in chunks_by_bytes(texts):
-            buf, offsets = _bytes_of(texts[lo:hi])
-            raw, rows = buf.tobytes(), anchors(buf, offsets)
-            rh = [int.from_bytes(hashlib.blake2b(raw[a : a + PREFIX], digest_size=8).digest(), "little", signed=True) for a in rows[:, 1].tolist()]
-            text = rows[:, 0] + lo
-            yield pa.RecordBatch.from_arrays([pa.array(rh, pa.int64()), _long(b1[text]), _long(b2[text]), _long(rows[:, 1] - offsets[rows[:, 0]])], ["rh", "b1", "b2", "anchor"])
-
-
 def _digest(raw: bytes) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest())
 
@@ -304,20 +370,33 @@ def _piece_batches(batches):
 
 def _start_batches(batches):
     """(h1, h2, b1, b2, s) of every start of the pieces that are compared start by start."""
+
+    def hashed(held):
+        regions, b1, b2, s0 = zip(*held)
+        size = np.array([len(r) for r in regions])
+        base = np.cumsum(size) - size
+        buf = np.concatenate(regions)
+        n = size - LENGTH + 1
+        row = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = base[row] + inside
+        one, two = (Hashed(buf, values).of(at, at + LENGTH) for values in (_VALUES, _OTHER))
+        columns = [_long(one), _long(two), *(_long(np.array(x, np.int64)[row]) for x in (b1, b2)), _long(np.array(s0, np.int64)[row] + inside)]
+        return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "b1", "b2", "s"])
+
+    held, total = [], 0
     for batch in batches:
-        cols = {k: batch.column(k).to_pylist() for k in ("text", "b1", "b2", "pieces")}
-        out: list[list] = [[] for _ in range(5)]
-        for text, b1, b2, pieces in zip(*cols.values()):
-            raw = (text or "").encode("utf-8", "replace")
+        for text, b1, b2, pieces in zip(*(batch.column(k).to_pylist() for k in ("text", "b1", "b2", "pieces"))):
+            raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
             for p in pieces:
                 if p["open"]:
-                    for s in range(p["s0"], p["s1"] + 1):
-                        for k, x in enumerate((*_digest(raw[s : s + LENGTH]), b1, b2, s)):
-                            out[k].append(x)
-            if len(out[0]) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["h1", "h2", "b1", "b2", "s"])
-                out = [[] for _ in range(5)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["h1", "h2", "b1", "b2", "s"])
+                    held.append((raw[p["s0"] : p["s1"] + LENGTH], b1, b2, p["s0"]))
+                    total += p["s1"] + LENGTH - p["s0"]
+                    if total > SLICE:
+                        yield hashed(held)
+                        held, total = [], 0
+    if held:
+        yield hashed(held)
 
 
 def _cut_batches(batches):
@@ -358,8 +437,8 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("b1"), F.xxhash64(F.lit("2"), text).alias("b2"))
 
 
-def _maybe_in(marks: DataFrame, key: str):
-    """A test that is true for all values of the hash ``key`` in ``marks`` and for few others, so that few rows are shuffled.
+def _filter_of(marks: DataFrame, key: str):
+    """A broadcast bit map of the hashes ``key`` in ``marks``; ``_passes`` is true for all of them and for few others, so that few rows are shuffled.
 
     A bit map of fixed size (FILTER_BITS) is summed up by Spark and broadcast; as it fills up with a growing
     corpus the test lets more through, which costs a shuffle of more rows and nothing else.
@@ -369,33 +448,56 @@ def _maybe_in(marks: DataFrame, key: str):
     found = words.toArrow()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = marks.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    return marks.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _maybe_in(marks: DataFrame, key: str):
+    shared = _filter_of(marks, key)
 
     @F.pandas_udf(T.BooleanType())
     def test(values: pd.Series) -> pd.Series:
-        at = values.to_numpy(np.int64) % FILTER_BITS
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pd.Series(_passes(shared.value, values.to_numpy(np.int64)))
 
     return test(key)
 
 
-def shared_suffixes(rows: DataFrame) -> DataFrame:
-    """rh of the anchored suffixes that come more than once in ``rows`` (text, b1, b2)."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.select("text", "b1", "b2").mapInArrow(_run_batches(4 * parts), "bucket int, run binary")
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_batches, "rh long")
+def _origin_batches(shared):
+    """(rh, b1, b2, anchor) of the anchors whose suffix passes the filter."""
+
+    def work(batches):
+        for batch in batches:
+            rhs, places = batch.column("rhs"), batch.column("anchors")
+            h = rhs.flatten().to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), np.diff(rhs.offsets.to_numpy()))
+            good = np.flatnonzero(_passes(shared.value, h))
+            text = text[good]
+            columns = [pa.array(h[good]), pa.array(batch.column("b1").to_numpy()[text]), pa.array(batch.column("b2").to_numpy()[text]), pa.array(places.flatten().to_numpy()[good])]
+            yield pa.RecordBatch.from_arrays(columns, ["rh", "b1", "b2", "anchor"])
+
+    return work
+
+
+def shared_suffixes(sampled: DataFrame) -> DataFrame:
+    """rh of the anchored suffixes that come more than once in the runs of ``sampled``."""
+    parts = int(sampled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = sampled.where("run is not null").select("range", "run")
+    return runs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_merge_batches, "rh long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows = _named(docs)
     long_rows = rows.where(F.octet_length("text") >= LENGTH)
-    shared = shared_suffixes(long_rows)
-    marks = (
-        long_rows.select("text", "b1", "b2").mapInArrow(_anchor_batches, "rh long, b1 long, b2 long, anchor long")
-        .join(shared, "rh", "left_semi").groupBy("b1", "b2").agg(F.collect_set("anchor").alias("marks"))
-    )
-    marks = _written(marks)
+    sampled = _written(long_rows.select("text", "b1", "b2").mapInArrow(_sampled_batches(range_cuts(long_rows)), "range int, run binary, b1 long, b2 long, rhs array<long>, anchors array<int>"))
+    shared = _written(shared_suffixes(sampled))
+    origins = sampled.where("run is null").select("b1", "b2", "rhs", "anchors").mapInArrow(_origin_batches(_filter_of(shared, "rh")), "rh long, b1 long, b2 long, anchor int")
+    marks = _written(origins.join(shared, "rh", "left_semi").groupBy("b1", "b2").agg(F.collect_set("anchor").alias("marks")))
     texts = long_rows.where(_maybe_in(marks, "b1")).groupBy("b1", "b2").agg(F.first("text").alias("text"))
     table = _written(texts.join(marks, ["b1", "b2"]))
 

@@ -63,15 +63,34 @@ def test_slices_change_nothing(monkeypatch):
     assert (whole[:, 3] - whole[:, 2] < sx.WINDOW).all()
 
 
+def test_anchors_are_the_leftmost_least_grams():
+    rng = random.Random(4)
+    texts = [words(rng, 300), "a" * 900, "ab" * 300, ("-" * 90 + "\n") * 12, words(rng, 3), "z" * 400]
+    buf, offsets = sx._bytes_of(texts)
+    h = sx.gram_hashes(buf).tolist()
+    want = []
+    for t, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        for s in range(lo, hi - sx.LENGTH + 1):
+            window = h[s : s + sx.WINDOW]
+            a = s + window.index(min(window))
+            if want and want[-1][:2] == [t, a]:
+                want[-1][3] = s
+            else:
+                want.append([t, a, s, s])
+    assert sx.anchors(buf, offsets).tolist() == want
+
+
 def test_loser_tree_orders_and_never_looks_twice(monkeypatch):
     rng = random.Random(3)
     looked = []
     plain = sx._shared
     monkeypatch.setattr(sx, "_shared", lambda a, b, k: looked.append(plain(a, b, k) - k) or k + looked[-1])
-    for n in (0, 1, 2, 3, 7):
-        runs = [sorted({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(rng.randint(0, 40))}) for _ in range(n)]
+    for n in (1, 2, 3, 7):
+        runs = [sorted({bytes(rng.choice(b"ab\xff\0") for _ in range(12)).ljust(sx.PREFIX, rng.choice([b"x", b"\0"])) for _ in range(rng.randint(0, 40))}) for _ in range(n)]
         looked.clear()
-        got = list(sx.merged([sx.read_run(sx.front_coded(r, [1] * len(r))) for r in runs]))
+        words = [sx.suffixes_at(np.frombuffer(b"".join(r), np.uint8), np.arange(len(r)) * sx.PREFIX) for r in runs if r]
+        coded = [sx.front_coded(*sx.sorted_run(w[np.random.default_rng(n).permutation(len(w))])) for w in words]
+        got = list(sx.merged([sx.read_run(c) for c in coded]))
         want = sorted(s for r in runs for s in r)
         assert [s for s, *_ in got] == want
         for (a, *_), (b, k, _) in zip(got, got[1:]):

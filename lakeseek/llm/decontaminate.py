@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lakeseek.llm.common import read_table
+from lakeseek.llm.common import bounded_batches, read_table
 
 LEAST_WORDS, LIKENESS = 5, 0.8
 BLOCK_BYTES = 4 << 20
@@ -306,8 +307,10 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, likeness) of every leak of an item into a row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     item_type = items.schema["item_id"].dataType
+    kind = to_arrow_type(item_type)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("likeness", T.DoubleType())])
     found = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items):
@@ -319,8 +322,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ids, rows = batch.column("doc_id"), []
                 for i, hits in enumerate(index.hits(batch.column("text").to_pylist())):
                     rows += [(i, index.items[k][0], like) for k, like in hits.items()]
-                columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.float64())]
-                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int64()), columns[2]], ["doc_id", "item_id", "likeness"])
+                columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "likeness"])
 
         found = found.unionByName(docs.select("doc_id", "text").mapInArrow(work, schema))
     return found
@@ -328,6 +331,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaked; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     sc, schema = docs.sparkSession.sparkContext, docs.schema
     for block in item_blocks(items):
         shared = sc.broadcast(Index(block))

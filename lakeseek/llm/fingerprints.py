@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import chunks_by_bytes, mix64, read_table, shingle_hashes
+from lakeseek.llm.common import bounded_batches, chunks_by_bytes, mix64, read_table, shingle_hashes
 
 BINS, BITS, WIDTH = 512, 2, 5
 _EMPTY = np.iinfo(np.uint64).max
@@ -88,6 +88,7 @@ def packed_likeness(a: bytes, b: bytes) -> float:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
@@ -192,6 +193,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return beside_next(docs).mapInArrow(work, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import read_table
+from lakeseek.llm.common import bounded_batches, read_table
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 400
@@ -93,6 +93,7 @@ def _count(batches):
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Sorted language names and the matrix of log probabilities from the rows of text and non-null lang."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("text", "lang").where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -123,6 +124,7 @@ def score(texts: list, names: list[str], matrix: np.ndarray) -> tuple[list[str],
 
 
 def _scorer(docs: DataFrame, model: tuple[list[str], np.ndarray]):
+    bounded_batches(docs.sparkSession)
     names = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1])
     return lambda texts: score(texts, names, shared.value)

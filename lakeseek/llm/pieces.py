@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import read_table
+from lakeseek.llm.common import bounded_batches, read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -217,6 +217,7 @@ def _compiled(shared) -> Transducer:
 
 
 def _share(spark: SparkSession, path: str):
+    bounded_batches(spark)
     model = load(path)
     model["key"] = hashlib.sha256(repr((model["pieces"], model["bpe"])).encode()).hexdigest()
     return spark.sparkContext.broadcast(model)  # as large as the vocabulary file

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import read_table
+from lakeseek.llm.common import bounded_batches, read_table
 
 #: Bump with every change of the rules, so that blobs are scanned again.
 RULE_VERSION = 1
@@ -61,6 +61,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None, rule_version: int = RULE
 
     Copies of a blob are put together before the shuffle, and one of them is scanned.
     """
+    bounded_batches(versions.sparkSession)
     blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeseek.llm import fingerprints as minhash
-from lakeseek.llm.common import checkpointed, chunks_by_bytes, mix64, read_table, shingle_hashes
+from lakeseek.llm.common import bounded_batches, checkpointed, chunks_by_bytes, mix64, read_table, shingle_hashes
 from lakeseek.llm.graph import connected_components
 
 SEED, WIDTH, RADIUS, BLOCKS, PIVOTS, DENSE = 42, 3, 3, 6, 16, 4096
@@ -70,16 +70,17 @@ def _word_runs(text: str | None, width: int):
     if len(raw) <= PIECE_BYTES:
         yield raw.split()
         return
-    at, carry = 0, []
+    at, carry, given = 0, [], False
     while at < len(raw):
         cut = _SEPARATOR.search(raw, at + PIECE_BYTES)
         to = cut.end() if cut else len(raw)
         words = carry + raw[at:to].split()
-        if len(words) >= width or to == len(raw) and at == 0:
+        if len(words) >= width:
+            given = True
             yield words
-        carry, at = words[-(width - 1) :] if width > 1 else [], to
-        if to == len(raw) and len(words) < width and at:
-            yield []
+        carry, at = (words[-(width - 1) :] if width > 1 else []) if len(words) >= width else words, to
+    if not given:
+        yield carry  # fewer words than a shingle has
 
 
 def shingle_digests(words: list[bytes], width: int) -> list[int]:
@@ -127,6 +128,7 @@ def simhash(texts: list, width: int = WIDTH) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and fp (64 bits as a signed long) of every row."""
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
@@ -428,13 +430,9 @@ def alike_edges(found: DataFrame) -> DataFrame:
     return edges.unionByName(verified(dealt))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id over links of five-word shingles with a likeness of 0.8 or more.
-
-    The likeness is that of one-permutation MinHash signatures; rows of equal signatures are one node.
-    Texts meet under each of their first shingles (see LIKENESS), so that no pair of shingle sets of
-    that likeness is missed, and members of a group are connected by verified pairs alone.
-    """
+def _near_components(docs: DataFrame) -> DataFrame:
+    """row (struct of doc_id and text hash, null for a null doc_id) and component (the least such struct) over near copies."""
+    bounded_batches(docs.sparkSession)
     last = late_shingles(docs)
     order = np.argsort(last)
     late = (last[order], order + 1)
@@ -448,26 +446,46 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 offsets, first = first_shingles(row, h, hi - lo, late)
                 node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sigs], np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(node), pa.array(sigs, pa.binary()), lists], ["doc_id", "node", "sig", "keys"])
+                own = [batch.column(k).slice(lo, hi - lo) for k in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(sigs, pa.binary()), lists], ["doc_id", "text_hash", "node", "sig", "keys"])
         pa.default_memory_pool().release_unused()
 
-    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("node", T.LongType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
-    found = checkpointed(docs.select("doc_id", "text").mapInArrow(work, T.StructType([T.StructField(*k) for k in kinds])))
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    found = checkpointed(named.mapInArrow(work, T.StructType([T.StructField(*k) for k in kinds])))
     edges = alike_edges(found.select("node", "sig", "keys"))
-    return _labelled(found.select("doc_id", F.col("node").alias("fp")), edges).select("doc_id", "component_id")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    labelled = _labelled(found.select(row.alias("doc_id"), F.col("node").alias("fp")), edges)
+    return labelled.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+
+
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id over links of five-word shingles with a likeness of 0.8 or more.
+
+    The likeness is that of one-permutation MinHash signatures; rows of equal signatures are one node.
+    Texts meet under each of their first shingles (see LIKENESS), so that no pair of shingle sets of
+    that likeness is missed, and members of a group are connected by verified pairs alone.
+    """
+    return _near_components(docs).select("row.doc_id", F.col("component.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its near copies; of repeated ids one row, null ids all.
+    """Of each group of near copies the row of the least doc_id (then text hash); rows with a null doc_id all stay.
 
-    The texts are shuffled once, by doc_id, for the anti join and the choice among repeated ids.
+    Rows are told apart by doc_id and text, so of repeated ids with different texts each stays unless it is a
+    near copy of another; of repeated rows with one text one stays. The texts are shuffled once, for the anti
+    join and the choice among repeated rows.
     """
-    dropped = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    nth = "nth"
-    while nth in docs.columns:
-        nth += "_"
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    once = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    dropped = _near_components(docs).where(F.col("row").isNotNull() & (F.col("row") != F.col("component"))).select("row.doc_id", F.col("row.text_hash").alias("hashed")).distinct()
+    nth, hashed = "nth", "hashed"
+    while {nth, hashed} & set(docs.columns):
+        nth, hashed = nth + "_", hashed + "_"
+    order = Window.partitionBy("doc_id", hashed).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = docs.where("doc_id is not null").withColumn(hashed, text_hash(F.col("text"))).join(dropped.withColumnRenamed("hashed", hashed), ["doc_id", hashed], "left_anti")
+    once = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return once.select(*columns).unionByName(docs.where("doc_id is null").select(*columns))

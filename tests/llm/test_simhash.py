@@ -121,6 +121,20 @@ def test_one_of_each_keeps_columns(spark):
     assert (np.bitwise_count(simhash.pivots()) > 16).all()
 
 
+def test_one_of_each_keeps_repeated_ids_with_other_texts(spark):
+    rows = [(1, "first words of one text here"), (1, "quite another text under the same id"), (2, "first words of one text here"), (2, "a third text that stands alone here"), (None, "quite another text under the same id"), (1, None), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=repr)
+    assert got == sorted({rows[0], rows[1], rows[3], rows[4], rows[5]}, key=repr)
+
+
+def test_few_words_over_a_piece(spark):
+    text = "w" * (simhash.PIECE_BYTES + 9) + " b c"
+    assert list(simhash._word_runs(text, 4)) == [[w.encode() for w in text.split()]]
+    assert simhash.simhash([text], 4)[0] == int(simhash.simhash([text], 3)[0]) != 0
+    assert simhash.simhash([" " * (simhash.PIECE_BYTES + 9)])[0] == 0
+
+
 def near_pairs(spark, rows):
     """Components of near_copies, and of brute force over the same signatures."""
     low, has = simhash.minhash.signatures([t for _, t in rows])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.functions import vector
+from lakeseek.operators import dense
 
 THRESHOLD, TTL_SECONDS, NO_COLLECTION = 0.9, 3600, "__none__"
 
@@ -27,16 +30,35 @@ def lookup(queries: DataFrame, entries: DataFrame, now: Column, threshold: float
     """query_id, entry_id, similarity of the nearest live entry in the query's partition, where it is near enough.
 
     queries: query_id, tenant_id, collection_id, tags, query_vector; entries: entry_id, tenant_id,
-    collection_id, tags, vector, expires_at. The nearest is found by a partial maximum, not a sort.
+    collection_id, tags, vector, expires_at. Blocks of questions are broadcast as for dense search; the nearest
+    is found by a partial maximum, not a sort.
     """
     key = ["tenant_id", "collection_id", "tags"]
     q = queries.select("query_id", "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags"), "query_vector")
     e = live(entries, now).select("entry_id", "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags"), "vector")
-    near = q.join(e, key).select("query_id", "entry_id", F.round(vector.cosine(F.col("query_vector"), F.col("vector")), 9).alias("similarity"))
-    best = near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("order"))).alias("b"))
+    e, q = e.withColumn("norm", vector.norm(F.col("vector"))), q.withColumn("query_norm", vector.norm(F.col("query_vector")))
+    parts = []
+    for block in dense.blocks(q):
+        # the entries stay where they lie; a task sends on one row per question of the block
+        near = e.join(F.broadcast(block), key).select("query_id", "entry_id", F.round(vector.cosine(F.col("query_vector"), F.col("vector"), F.col("query_norm"), F.col("norm")), 9).alias("similarity"))
+        parts.append(near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("order"))).alias("b")))
+    best = reduce(DataFrame.unionByName, parts)
     return best.select("query_id", (-F.col("b.order")).alias("entry_id"), F.col("b.similarity").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """Questions (caller_tags, query_collection) in the columns of ``lookup``; those without a vector hit nothing."""
+    return queries.where("query_vector is not null").select("query_id", "tenant_id", F.col("query_collection").alias("collection_id"), F.col("caller_tags").alias("tags"), "query_vector")
+
+
+def entries(rows: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """Entries of rows (query_id, tenant_id, query_collection, caller_tags, query_vector, doc_ids, payload)."""
+    return rows.select(
+        F.xxhash64("query_id", "tenant_id", "payload").alias("entry_id"), "tenant_id", F.col("query_collection").alias("collection_id"), F.col("caller_tags").alias("tags"),
+        F.col("query_vector").alias("vector"), "doc_ids", "payload", (now + F.make_interval(secs=F.lit(ttl))).alias("expires_at"),
+    )
+
+
 def stored(entries: DataFrame, rows: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     fresh = rows.withColumn("expires_at", now + F.make_interval(secs=F.lit(ttl)))
     return entries.unionByName(fresh.select(*entries.columns))

@@ -38,7 +38,8 @@ def embed_text(prefix: str = "contextual_prefix", text: str = "text"):
 def prefixed(chunks: DataFrame, docs: DataFrame, cache: DataFrame, generate, version: str = "1") -> DataFrame:
     """Chunks with contextual_prefix from the cache; ``generate`` (a column function of document and chunk text) runs on misses only."""
     key = F.sha2(F.concat_ws("\x1f", F.lit(version), F.col("doc_id").cast("string"), F.sha2("doc_text", 256), F.col("text")), 256)
-    joined = chunks.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id", "left").withColumn("doc_text", F.coalesce("doc_text", F.lit(""))).withColumn("prefix_key", key)
+    own = [c for c in ("tenant_id", "doc_id") if c in chunks.columns and c in docs.columns]
+    joined = chunks.join(docs.select(*own, F.col("text").alias("doc_text")), own, "left").withColumn("doc_text", F.coalesce("doc_text", F.lit(""))).withColumn("prefix_key", key)
     found = joined.join(cache.select("prefix_key", F.col("prefix").alias("cached")), "prefix_key", "left")
     hits = found.where("cached is not null").withColumn("contextual_prefix", F.trim("cached"))
     misses = found.where("cached is null").withColumn("contextual_prefix", F.trim(generate(F.col("doc_text"), F.col("text"))))

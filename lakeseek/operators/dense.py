@@ -12,6 +12,14 @@ from lakeseek.operators.acl import visible
 QUERY_BLOCK = 2000
 
 
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` (query_id, ...) in hash blocks of about QUERY_BLOCK rows, each small enough to broadcast."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    if n <= 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
 def top_k(queries: DataFrame, vecs: DataFrame, k: int = 20, key: str = "vec_id") -> DataFrame:
     """query_id, ``key``, score, rank: the k nearest visible vectors of each query.
 
@@ -20,11 +28,8 @@ def top_k(queries: DataFrame, vecs: DataFrame, k: int = 20, key: str = "vec_id")
     """
     normed = vecs.withColumn("norm", vector.norm(F.col("embedding")))
     wanted = queries.withColumn("query_norm", vector.norm(F.col("query_vector")))
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK)
     parts = []
-    for b in range(max(1, blocks)):
-        block = wanted if blocks <= 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1))
+    for block in blocks(wanted):
         pairs = visible(F.broadcast(block), normed)
         score = vector.cosine(F.col("query_vector"), F.col("embedding"), F.col("query_norm"), F.col("norm"))
         scored = pairs.select("query_id", key, F.round(score, 9).alias("score"))

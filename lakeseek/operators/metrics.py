@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseek.functions.ranks import running_total
+
 RESAMPLES, ALPHA, TOLERANCE, SEED = 1000, 0.05, 0.03, 0
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 1 << 31
+DRAW_BLOCK = 16
 
 
 def precision_at(retrieved: Column, relevant: Column, k: int) -> Column:
@@ -68,19 +71,22 @@ def scrambled(x: Column) -> Column:
 def bootstrap(values: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """metric, mean, lo, hi of values (metric, value): percentile intervals of resampled means.
 
-    Equal values are counted first. A resample draws n places with replacement; the draws are made by
-    place number and meet the values by a join on cumulated counts' places, so no list of all values
-    is ever built. The work is resamples x n, as the method has it, spread over all tasks.
+    Equal values are counted first and take consecutive places. A resample draws n places with replacement;
+    the draws are made by place number, block by block, and meet the values' ranges of places by an equi-join on
+    blocks of DRAW_BLOCK places. The work is resamples x n, as the method has it, dealt out by (metric, resample).
     """
-    from pyspark.sql import Window
-
-    numbered = values.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy("value")) - 1)
+    counted = values.groupBy("metric", "value").agg(F.count("*").alias("c"))
+    placed = running_total(counted, ["metric"], ["value"], F.col("c"), "upto").withColumn("lo", F.col("upto") - F.col("c"))
+    ranges = placed.select("metric", "value", "lo", "upto", F.explode(F.sequence(F.floor(F.col("lo") / DRAW_BLOCK), F.floor((F.col("upto") - 1) / DRAW_BLOCK))).alias("block"))
     sizes = values.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    draws = numbered.select("metric", "place").join(F.broadcast(sizes), "metric").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    resampled = sizes.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("metric", "resample")
+    step = 4096
+    spans = resampled.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    draws = spans.withColumn("place", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("n")) - 1)))
     state = (F.col("resample") * 7919 + F.col("place") * 104729 + seed * 31 + 17) % LCG_M
-    drawn = draws.select("metric", "resample", "n", "mean", F.floor(scrambled(scrambled(scrambled(state))) / 65536).alias("r")).select("metric", "resample", "n", "mean", (F.col("r") % F.col("n")).alias("place"))
-    counted = drawn.groupBy("metric", "resample", "n", "mean", "place").agg(F.count("*").alias("times"))
-    means = counted.join(numbered, ["metric", "place"]).groupBy("metric", "resample", "n", "mean").agg(F.sum(F.col("value") * F.col("times")).alias("total"))
+    place = F.floor(scrambled(scrambled(scrambled(state))) / 65536) % F.col("n")
+    drawn = draws.select("metric", "resample", "n", "mean", place.alias("place")).withColumn("block", F.floor(F.col("place") / DRAW_BLOCK))
+    means = drawn.join(ranges, ["metric", "block"]).where("place >= lo and place < upto").groupBy("metric", "resample", "n", "mean").agg(F.sum("value").alias("total"))
     return means.groupBy("metric").agg(
         F.round(F.first("mean"), 9).alias("mean"), F.round(F.percentile(F.col("total") / F.col("n"), F.lit(alpha / 2)), 9).alias("lo"), F.round(F.percentile(F.col("total") / F.col("n"), F.lit(1 - alpha / 2)), 9).alias("hi"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,18 +18,72 @@ PATTERNS = {
     "SSN": r"(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)",
     "CREDIT_CARD": r"(?<!\d)(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}(?!\d)",
 }
+MASK_ERROR = "[PII_REDACTION_ERROR]"
 SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+#: Texts of these characters alone mean the same to Java's and Python's patterns.
+PLAIN = r"^[\x00-\x1b\x20-\x7f]*$"
+
+
 def counted(text: Column, kind: str) -> Column:
-    return F.regexp_count(text, F.lit(PATTERNS[kind]))
+    """Findings of a kind: counted in the JVM where the text is plain ASCII, by the detector elsewhere."""
+    plain = F.coalesce(text, F.lit("")).rlike(PLAIN)
+    return F.when(plain, F.coalesce(F.regexp_count(text, F.lit(PATTERNS[kind])), F.lit(0))).otherwise(F.size(F.filter(spans(F.when(~plain, text)), lambda s: s["type"] == kind)))
+
+
+@cache
+def _compiled() -> dict[str, re.Pattern]:
+    return {k: re.compile(p, re.IGNORECASE if k == "EMAIL" else 0) for k, p in PATTERNS.items()}
+
+
+def found_in(text: str | None) -> list[tuple[str, int, int]]:
+    return [(k, m.start(), m.end()) for k, p in _compiled().items() for m in p.finditer(text or "")]
+
+
+def clean_text(text: str | None) -> str | None:
+    """A text with each finding, overlaps as one, replaced by its type in brackets; what can't be read is withheld."""
+    if text is None:
+        return None
+    try:
+        out, at = [], 0
+        for start, upto, kind in sorted((s, -e, k) for k, s, e in found_in(text)):
+            if start >= at:
+                out += [text[at:start], f"[{kind}]"]
+            at = max(at, -upto)
+        return "".join(out) + text[at:]
+    except Exception:  # noqa: BLE001 - a trace must not carry what couldn't be checked
+        return MASK_ERROR
+
+
+@F.pandas_udf(T.StringType())
+def cleaned(texts: pd.Series) -> pd.Series:
+    return texts.map(clean_text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cleaned_list(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [clean_text(x) for x in xs])
+
+
+@F.pandas_udf(T.StringType())
+def cleaned_json(docs: pd.Series) -> pd.Series:
+    """JSON with every string value cleaned, at any depth; keys stay."""
+
+    def walk(x):
+        if isinstance(x, str):
+            return clean_text(x)
+        if isinstance(x, dict):
+            return {k: walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    return docs.map(lambda d: None if d is None else json.dumps(walk(json.loads(d))))
 
 
 @F.pandas_udf(SPANS)
 def spans(texts: pd.Series) -> pd.Series:
     """Findings in pattern order, then match order; they may overlap across types."""
-    found = {k: re.compile(p) for k, p in PATTERNS.items()}
-    return texts.map(lambda t: [{"type": k, "start": m.start(), "end": m.end()} for k, p in found.items() for m in p.finditer(t or "")])
+    return texts.map(lambda t: [{"type": k, "start": s, "end": e} for k, s, e in found_in(t)])
 
 
 def merged(found: Column) -> Column:

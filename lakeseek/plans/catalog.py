@@ -191,7 +191,7 @@ def bm25_idf(spark, sf):
 
 @query("bm25_topk", f"WITH {DOCS}, {POSTED}, {SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def bm25_topk(spark, sf):
-    return bm25.top_k(tables.questions(spark, sf), tables.document_chunks(spark, sf)).withColumn("score", F.round("score", 6))
+    return bm25.top_k(tables.questions(spark, sf), tables.document_chunks(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_add_delete", f"""WITH {DOCS}, kept AS (SELECT * FROM docs WHERE doc_id % 11 <> 0),
@@ -209,8 +209,7 @@ def bm25_add_delete(spark, sf):
 # ---- fusion, reranking, hybrid ---------------------------------------------------------------
 @query("rrf_fusion", f"WITH {DOCS}, {POSTED}, {SPARSE}, {HASHED} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused")
 def rrf_fusion(spark, sf):
-    q, chunks = tables.questions(spark, sf), tables.document_chunks(spark, sf)
-    both = answer.dense_ranking(q, chunks).select("query_id", F.lit("dense").alias("source"), "chunk_id", "score").unionByName(bm25.top_k(q, chunks).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "score"))
+    both = answer.both_rankings(tables.questions(spark, sf), bm25.build(tables.document_chunks(spark, sf)))
     return fusion.fuse(both).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -225,7 +224,7 @@ SELECT query_id, chunk_id, rank, s AS rerank_score FROM (
     SELECT query_id, chunk_id, sparse.rank, len(list_intersect({TOKENS.format('question')}, {TOKENS.format('text')}))::DOUBLE AS s FROM sparse JOIN docs USING (chunk_id) JOIN asked USING (query_id))) WHERE rank <= 8""")
 def rerank_overlap(spark, sf):
     q, chunks = tables.questions(spark, sf), tables.document_chunks(spark, sf)
-    found = bm25.top_k(q, chunks).join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(q.select("query_id", "question")), "query_id")
+    found = bm25.top_k(q, chunks).join(chunks.select(*answer.CHUNK, "text"), answer.CHUNK).join(q.select("query_id", "question"), "query_id")
     return fusion.rerank(found, fusion.overlap_score()).select("query_id", "chunk_id", "rank", "rerank_score")
 
 
@@ -242,10 +241,10 @@ def retrieved_doc_dedup(spark, sf):
 def _outputs(spark, sf):
     """item_id, retrieved, relevant: sparse results against the documents that hold the item's whole text."""
     q, chunks = tables.questions(spark, sf), tables.document_chunks(spark, sf)
-    ranked = bm25.top_k(q, chunks).join(chunks.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id")), "chunk_id")
+    ranked = bm25.top_k(q, chunks).join(chunks.select(*answer.CHUNK, F.col("doc_id").cast("string").alias("doc_id")), answer.CHUNK)
     got = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r")).select("query_id", F.transform("r", lambda x: x["doc_id"]).alias("retrieved"))
-    # the stated question set against all rows
-    gold = tables.read(spark, sf, "documents").alias("d").join(F.broadcast(q.alias("q")), F.expr("contains(d.text, q.question)")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("d.doc_id").cast("string"))).alias("relevant"))
+    holders = corpora.holding(tables.read(spark, sf, "documents"), q)
+    gold = holders.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
     return q.select("query_id").join(got, "query_id", "left").join(gold, "query_id", "left").select(
         F.col("query_id").alias("item_id"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"))
 
@@ -316,6 +315,41 @@ def fast_subset(spark, sf):
 
 
 # ---- personal data -----------------------------------------------------------------------------
+def _spans_sql() -> str:
+    """doc_id, type, start, end of every finding. DuckDB has no look-around: a match is cut out with its neighbours, which the check then drops.
+
+    The text is split at a pattern piece by piece: each step takes the first match of the rest.
+    """
+    kinds = []
+    for kind, (core, guarded) in SPAN_CORES.items():
+        first = f"(^|[^0-9])({core})($|[^0-9])" if guarded else f"()({core})()"
+        kinds.append(f"""SELECT doc_id, '{kind}' AS type, (start)::INT AS start, (start + length(hit))::INT AS "end" FROM (
+  WITH RECURSIVE walk AS (
+    SELECT doc_id, text AS rest, 0 AS here, regexp_extract(text, '{first}', ['a', 'hit', 'z']) AS m, -1 AS start, '' AS hit FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE regexp_matches(text, '{first}'))
+    UNION ALL
+    SELECT doc_id, nxt, here + length(rest) - length(nxt), regexp_extract(nxt, '{first}', ['a', 'hit', 'z']), here + found - 1, w FROM (
+      SELECT *, m.hit AS w, instr(rest, m.a || m.hit || m.z) + length(m.a) AS found, substr(rest, instr(rest, m.a || m.hit || m.z) + length(m.a) + length(m.hit)) AS nxt FROM walk WHERE m.hit <> ''))
+  SELECT doc_id, start, hit FROM walk WHERE start >= 0)""")
+    return " UNION ALL ".join(kinds)
+
+
+#: The detector's patterns without look-around and backslash escapes that DuckDB lacks; guarded ones have no digit beside them.
+SPAN_CORES = {
+    "EMAIL": (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", False),
+    "PHONE": (r"(?:\+1[\s\-]?)?(?:\([0-9]{3}\)[\s\-]?|[0-9]{3}[\s\-])[0-9]{3}[\s\-][0-9]{4}", True),
+    "SSN": (r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}", True),
+    "CREDIT_CARD": (r"(?:4[0-9]{3}|5[1-5][0-9]{2}|3[47][0-9]{2}|6(?:011|5[0-9]{2}))[\s\-]?[0-9]{4}[\s\-]?[0-9]{4}[\s\-]?[0-9]{4}", True),
+}
+SPANS_SQL = _spans_sql()
+REDACTED = f"""plain AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), sp AS ({SPANS_SQL}),
+o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sp),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, type) AS grp FROM o),
+m AS (SELECT doc_id, grp, min(start) AS s, max("end") AS e, first(type ORDER BY start, "end" DESC, type) AS type FROM g GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY grp), 0) AS fr FROM m),
+r AS (SELECT doc_id, string_agg(substr(text, fr + 1, s - fr) || '[' || type || ']', '' ORDER BY grp) || substr(any_value(text), max(e) + 1) AS text FROM p JOIN plain USING (doc_id) GROUP BY doc_id),
+clean AS (SELECT doc_id, coalesce(r.text, plain.text) AS text, (SELECT count(*) FROM sp WHERE sp.doc_id = plain.doc_id)::INT AS n_spans FROM plain LEFT JOIN r USING (doc_id))"""
+
+
 @query("pii_counts", r"""SELECT doc_id,
   len(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b'))::INT AS n_email,
   len(regexp_extract_all(text, '(?:^|[^0-9])(?:\+1[\s\-]?)?(?:\([0-9]{3}\)[\s\-]?|[0-9]{3}[\s\-])[0-9]{3}[\s\-][0-9]{4}(?:$|[^0-9])'))::INT AS n_phone,
@@ -327,28 +361,28 @@ def pii_counts(spark, sf):
     return docs.select("doc_id", *[redaction.counted(F.col("text"), k).alias(n) for k, n in (("EMAIL", "n_email"), ("PHONE", "n_phone"), ("SSN", "n_ssn"), ("CREDIT_CARD", "n_card"))])
 
 
-@query("pii_spans")
+@query("pii_spans", SPANS_SQL)
 def pii_spans(spark, sf):
     docs = tables.documents(spark, sf)
     return docs.select("doc_id", F.explode(redaction.spans(F.col("text"))).alias("s")).select("doc_id", "s.type", "s.start", "s.end")
 
 
-@query("pii_redact")
+@query("pii_redact", f"WITH {REDACTED} SELECT doc_id, text, n_spans FROM clean")
 def pii_redact(spark, sf):
     return redaction.ingested(tables.documents(spark, sf)).select("doc_id", "text", F.size("pii_spans").alias("n_spans"))
 
 
-@query("pii_keep_tags")
+@query("pii_keep_tags", f"WITH sp AS ({SPANS_SQL}) SELECT doc_id, coalesce((SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM sp WHERE sp.doc_id = documents.doc_id), '') AS pii_types FROM documents")
 def pii_keep_tags(spark, sf):
-    return redaction.ingested(tables.documents(spark, sf), "keep").select("doc_id", "pii_types")
+    return redaction.ingested(tables.documents(spark, sf), "keep").select("doc_id", F.array_join("pii_types", ",").alias("pii_types"))
 
 
-@query("pii_audit_hash", r"""SELECT value_hash, count(*) AS n FROM (
-  SELECT substr(sha256('pepper' || unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b'))), 1, 16) AS value_hash FROM documents) GROUP BY ALL""")
+@query("pii_audit_hash", r"""SELECT type, value_hash, count(*) AS n FROM (
+  SELECT type, substr(sha256('pepper' || substr(text, start + 1, "end" - start)), 1, 16) AS value_hash FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) JOIN (""" + SPANS_SQL + """) USING (doc_id)) GROUP BY ALL""")
 def pii_audit_hash(spark, sf):
     docs = redaction.ingested(tables.documents(spark, sf), "keep").withColumn("chunk_id", F.lit("doc_redaction"))
     log = redaction.audit(docs, F.lit(0.0), "pepper", True)
-    return log.where("type = 'EMAIL'").groupBy("value_hash").agg(F.count("*").alias("n"))
+    return log.groupBy("type", "value_hash").agg(F.count("*").alias("n"))
 
 
 # ---- incremental ingestion -----------------------------------------------------------------------
@@ -435,7 +469,7 @@ packed AS (SELECT * FROM totals WHERE marker = 1 OR total <= 4000)"""
 
 def _packed(spark, sf):
     chunks = tables.document_chunks(spark, sf)
-    ranked = bm25.top_k(tables.questions(spark, sf), chunks).join(chunks.select("chunk_id", "title", "source", "text"), "chunk_id")
+    ranked = bm25.top_k(tables.questions(spark, sf), chunks).join(chunks.select(*answer.CHUNK, "title", "source", "text"), answer.CHUNK)
     return context.pack(ranked)
 
 
@@ -516,7 +550,19 @@ def groundedness_guard(spark, sf):
     return labels.select("doc_id", guard.grounded(contexts, F.col("doc_id") % 9 == 0, F.col("quality").cast("double"))["action"].alias("action"))
 
 
-@query("synonym_rewrite")
+def _swap(sql: str, word: str, full: str) -> str:
+    """Whole words replaced; twice, since neighbours share the character between them."""
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    for _ in range(2):
+        sql = rf"regexp_replace({sql}, '(^|[^\p{{L}}\p{{N}}_]){either}($|[^\p{{L}}\p{{N}}_])', '\1~~\2', 'g')"
+    return f"replace({sql}, '~~', '{full}')"
+
+
+_TALK = "coalesce(text, '')"
+_SWAPPED = f"""CASE conv_id % 20 WHEN 0 THEN {_swap(_TALK, 'the', 'that')} WHEN 1 THEN {_swap(_TALK, 'de la', 'du')} ELSE {_swap(_swap(_TALK, 'out', 'outside'), 'of', 'out of')} END"""
+
+
+@query("synonym_rewrite", f"""SELECT conv_id, turn, CASE WHEN swapped = plain AND len({WORDS.format('plain')}) >= 5 THEN trim(plain || ' more') ELSE swapped END AS retrieval_question FROM (SELECT conv_id, turn, {_TALK} AS plain, {_SWAPPED} AS swapped FROM conversations)""")
 def synonym_rewrite(spark, sf):
     talk = tables.read(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), tables.tenant_of(F.col("conv_id")).alias("tenant_id"))
     rules = spark.createDataFrame([("public", "of", "out of"), ("public", "out", "outside"), ("tenant_a", "the", "that"), ("tenant_b", "de la", "du")], "tenant_id string, shortcut string, full string")
@@ -579,11 +625,11 @@ def faithfulness_ratio(spark, sf):
 
 
 @query("answer_relevancy", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT q.vec_id AS query_id, round(avg(list_cosine_similarity(q.e, g.e)), 6) AS value FROM v q JOIN v g ON g.vec_id // 100 = q.vec_id // 100 AND g.vec_id % 100 BETWEEN 1 AND 3 WHERE q.vec_id % 100 = 0 GROUP BY ALL""")
+SELECT q.vec_id AS query_id, round(avg(list_cosine_similarity(q.e, g.e)), 6) AS value FROM v q JOIN v g ON g.vec_id // 100 = q.vec_id // 100 AND g.vec_id % 100 > 0 WHERE q.vec_id % 100 = 0 GROUP BY ALL""")
 def answer_relevancy(spark, sf):
     v = tables.vectors(spark, sf).withColumn("item", F.floor(F.col("vec_id") / 100))
     asked = v.where("vec_id % 100 = 0").select("item", F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    made = v.where("vec_id % 100 between 1 and 3").select("item", "embedding")
+    made = v.where("vec_id % 100 > 0").select("item", "embedding")  # the other vectors of the block are its generated questions
     return asked.join(made, "item").groupBy("query_id").agg(F.round(F.avg(vector.cosine(F.col("qv"), F.col("embedding"))), 6).alias("value"))
 
 
@@ -651,6 +697,19 @@ def tenant_split_gold(spark, sf):
     return corpora.gold_tenants(golden, tables.documents(spark, sf).select("doc_id", "tenant_id"))
 
 
-@query("answer_e2e")
+@query("answer_e2e", rf"""WITH {DOCS}, {POSTED}, {SPARSE}, {HASHED},
+ctx AS (SELECT r.query_id, r.chunk_id, r.doc_id, r.rank, title, source, text FROM reranked r JOIN docs USING (chunk_id)),
+costs AS (SELECT *, len({WORDS.format("'[' || rank || '] ' || title || ' (' || source || ')' || E'\\n' || text")}) AS cost FROM ctx),
+packed AS (SELECT * FROM (SELECT *, rank AS marker, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM costs) WHERE marker = 1 OR total <= 4000),
+written AS (SELECT query_id, regexp_extract(text, '^[^.\n]*') || ' [1]' AS answer FROM packed WHERE marker = 1),
+marks AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(answer, '\[(\d+)\]', 1))::BIGINT AS marker FROM written),
+cited AS (SELECT query_id, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) AS cited FROM marks JOIN packed USING (query_id, marker) GROUP BY ALL),
+given AS (SELECT query_id, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) AS context_ids FROM packed GROUP BY ALL),
+sources AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids FROM ctx GROUP BY ALL),
+formed AS (SELECT query_id, f, replace(f, ' ', '') AS c FROM (SELECT query_id, trim(regexp_replace(translate(lower(text), '013457@$', 'oieastas'), '\s+', ' ', 'g')) AS f FROM ctx)),
+flagged AS (SELECT query_id, string_agg(DISTINCT l, ',' ORDER BY l) AS suspected FROM (SELECT query_id, unnest({_labels_sql(guard.STRONG)}) AS l FROM formed) GROUP BY ALL)
+SELECT query_id, sha256(coalesce(answer, '{guard.REFUSAL.replace("'", "''")}')) AS answer_sha, answer IS NULL AS refused, false AS blocked, coalesce(cited, '') AS cited, coalesce(context_ids, '') AS context_ids, coalesce(doc_ids, '') AS doc_ids, coalesce(suspected, '') AS suspected
+FROM asked LEFT JOIN written USING (query_id) LEFT JOIN cited USING (query_id) LEFT JOIN given USING (query_id) LEFT JOIN sources USING (query_id) LEFT JOIN flagged USING (query_id)""")
 def answer_e2e(spark, sf):
-    return answer.answers(tables.questions(spark, sf), tables.document_chunks(spark, sf))
+    done = answer.answers(tables.questions(spark, sf), tables.document_chunks(spark, sf))
+    return done.select("query_id", F.sha2("answer", 256).alias("answer_sha"), "refused", "blocked", *[F.array_join(c, ",").alias(c) for c in ("cited", "context_ids", "doc_ids", "suspected")])

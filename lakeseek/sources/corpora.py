@@ -72,7 +72,7 @@ def accepted(files: DataFrame) -> DataFrame:
 
 def plain_text(files: DataFrame) -> DataFrame:
     """UTF-8 with replacement of malformed bytes."""
-    return files.withColumn("text", F.decode(F.col("content"), "UTF-8"))
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def golden_file(spark: SparkSession, path: str) -> DataFrame:
@@ -92,3 +92,29 @@ def gold_tenants(golden: DataFrame, assigned: DataFrame) -> DataFrame:
     """Tenants of documents: the tenant of a golden row that needs the document wins over the split."""
     needed = golden.select(F.explode("relevant_doc_ids").alias("doc_id"), "tenant_id").groupBy("doc_id").agg(F.min("tenant_id").alias("gold_tenant"))
     return assigned.join(needed, "doc_id", "left").select("doc_id", F.coalesce("gold_tenant", "tenant_id").alias("tenant_id"))
+
+
+#: Words of a text's inside by which it is looked up.
+KEY_WORDS = 5
+
+
+def holding(docs: DataFrame, items: DataFrame, item: str = "query_id", text: str = "question") -> DataFrame:
+    """``item`` and doc_id of every document that holds an item's whole text.
+
+    A text's first and last words may be cut out of longer ones, those between stand in the document as they are: five of
+    them are a key by which documents and items meet, and whole texts are compared then. Only items of under seven
+    words are compared with every document.
+    """
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    keyed = items.select(item, F.col(text).alias("_text"), words.alias("_w"))
+    enough = F.size("_w") >= KEY_WORDS + 2
+    long_ones = keyed.where(enough).select(item, "_text", F.xxhash64(F.slice("_w", 2, KEY_WORDS)).alias("_key"))
+    runs = F.expr(f"transform(sequence(1, greatest(size(_w) - {KEY_WORDS - 1}, 1)), i -> xxhash64(slice(_w, i, {KEY_WORDS})))")
+    split = docs.select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("_w"))
+    keys = split.where(F.size("_w") >= KEY_WORDS).select("doc_id", F.explode(F.array_distinct(runs)).alias("_key"))
+    met = keys.join(long_ones, "_key").select(item, "doc_id", "_text").distinct().join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")
+    found = met.where(F.contains("_doc", "_text")).select(item, "doc_id")
+    short = keyed.where(~enough).select(item, "_text")
+    if not short.limit(1).count():
+        return found
+    return found.unionByName(docs.join(short, F.contains(docs["text"], short["_text"])).select(item, "doc_id"))

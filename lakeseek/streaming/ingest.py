@@ -27,27 +27,39 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(nth)).where("nth = 1").drop("nth")
 
 
-def upsert_into(folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest row per key in versions of a table under ``folder``.
-
-    Batch n reads version n - 1 and writes version n whole; a replayed batch writes the same again.
-    """
+def upsert_into(folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes the keys whose latest row has changed, by batch; a replayed batch writes the same again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}"))
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write
 
 
 def run_upserts(stream: DataFrame, folder: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Process what there is, and return the last version of the table."""
-    query = stream.writeStream.foreachBatch(upsert_into(f"{folder}/table", keys, order)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    """Process what there is, and return the latest row of every key.
+
+    The state store keeps the latest row per key; a batch writes only the keys it has changed, so its cost follows the
+    batch and not the table. ``compacted`` folds the batches into one from time to time.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/table/batch=-1")
+    state = stream.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
+    query = state.writeStream.outputMode("update").foreachBatch(upsert_into(f"{folder}/table")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table/v{last}")
+    return table_of(spark, folder, stream.schema, keys, order)
+
+
+def table_of(spark: SparkSession, folder: str, schema, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of every key of what ``run_upserts`` has written under ``folder``."""
+    written = spark.read.schema(schema).parquet(f"{folder}/table/batch=*")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*written.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def compacted(spark: SparkSession, folder: str, schema, keys: list[str], order: list[str], to: str) -> DataFrame:
+    """The table written to ``to`` as one version, to start from with a new ``folder``."""
+    table_of(spark, folder, schema, keys, order).write.mode("overwrite").parquet(to)
+    return spark.read.schema(schema).parquet(to)
 
 
 def live_counts(stream: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:

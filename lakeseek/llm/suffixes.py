@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import _powers, _VALUES, bounded_batches, checkpointed, chunks_by_bytes, mix64, read_table
+from lakeseek.llm.common import _powers, _VALUES, bounded_batches, chunks_by_bytes, mix64, read_table, written
 
 LENGTH, WINDOW, GRAM, CLASS = 400, 320, 16, 64
 PREFIX = LENGTH - WINDOW + 1
@@ -423,15 +422,6 @@ def _cut_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["b1", "b2", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, about half as large as a checkpoint."""
-    spark = df.sparkSession
-    checkpointed(spark.range(1))  # sets the folder where the session has none
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _named(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("b1"), F.xxhash64(F.lit("2"), text).alias("b2"))
@@ -494,15 +484,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = _named(docs)
     long_rows = rows.where(F.octet_length("text") >= LENGTH)
-    sampled = _written(long_rows.select("text", "b1", "b2").mapInArrow(_sampled_batches(range_cuts(long_rows)), "range int, run binary, b1 long, b2 long, rhs array<long>, anchors array<int>"))
-    shared = _written(shared_suffixes(sampled))
+    sampled = written(long_rows.select("text", "b1", "b2").mapInArrow(_sampled_batches(range_cuts(long_rows)), "range int, run binary, b1 long, b2 long, rhs array<long>, anchors array<int>"))
+    shared = written(shared_suffixes(sampled))
     origins = sampled.where("run is null").select("b1", "b2", "rhs", "anchors").mapInArrow(_origin_batches(_filter_of(shared, "rh")), "rh long, b1 long, b2 long, anchor int")
-    marks = _written(origins.join(shared, "rh", "left_semi").groupBy("b1", "b2").agg(F.collect_set("anchor").alias("marks")))
+    marks = written(origins.join(shared, "rh", "left_semi").groupBy("b1", "b2").agg(F.collect_set("anchor").alias("marks")))
     texts = long_rows.where(_maybe_in(marks, "b1")).groupBy("b1", "b2").agg(F.first("text").alias("text"))
-    table = _written(texts.join(marks, ["b1", "b2"]))
+    table = written(texts.join(marks, ["b1", "b2"]))
 
     place = F.xxhash64("b1", "b2", "s0")
-    pieces = table.mapInArrow(_piece_batches, "kh long, v1 long, v2 long, b1 long, b2 long, s0 long, s1 long").withColumn("place", place)
+    pieces = written(table.mapInArrow(_piece_batches, "kh long, v1 long, v2 long, b1 long, b2 long, s0 long, s1 long")).withColumn("place", place)
     contents = pieces.groupBy("kh", "v1", "v2").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     keys = contents.groupBy("kh").agg(F.count("*").alias("contents"))
     live = contents.join(keys, "kh").where("n > 1 or contents > 1")
@@ -510,11 +500,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         "b1", "b2", "s0", "s1", (F.col("n") > 1).alias("whole"),
         ((F.col("contents") > 1) & ((F.col("n") == 1) | (F.col("place") == F.col("first")))).alias("open"),
     ).where("whole or open")
-    pieces_of = _written(told.groupBy("b1", "b2").agg(F.collect_list(F.struct("s0", "s1", "whole", "open")).alias("pieces")))
+    pieces_of = written(told.groupBy("b1", "b2").agg(F.collect_list(F.struct("s0", "s1", "whole", "open")).alias("pieces")))
 
     opened = table.select("b1", "b2", "text").join(pieces_of.where("exists(pieces, p -> p.open)"), ["b1", "b2"])
-    starts = _written(opened.mapInArrow(_start_batches, "h1 long, h2 long, b1 long, b2 long, s long"))
-    again = _written(starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    starts = written(opened.mapInArrow(_start_batches, "h1 long, h2 long, b1 long, b2 long, s long"))
+    again = written(starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
     single = starts.where(_maybe_in(again, "h1")).join(again, ["h1", "h2"], "left_semi").select("b1", "b2", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
     whole = pieces_of.select("b1", "b2", F.explode("pieces").alias("p")).where("p.whole").select("b1", "b2", F.col("p.s0").alias("lo"), (F.col("p.s1") + LENGTH).alias("hi"))
     gone = single.unionByName(whole).groupBy("b1", "b2").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))

@@ -39,6 +39,28 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert found == {1: 1, 3: 1}
 
 
+def test_history_joins_back_to_all_paths_and_versions(spark):
+    rows = [("a", 1, "x"), ("a", 2, "x\ntoken=abcdefghijklmnop"), ("b", 1, "x\ntoken=abcdefghijklmnop"), ("b", 2, "x"), ("c", 1, None), ("c", 2, "")]
+    history = spark.createDataFrame([(f"{p}@{v}", t) for p, v, t in rows], "path string, text string")
+    ledger = secrets.scan(history.where("path like '%@1'"), None)
+    more = secrets.scan(history, ledger)
+    assert ledger.count() == 3 and more.count() == 0
+    found = {r.path: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.findings(history, ledger, "path").collect()}
+    assert found == {"a@1": [], "a@2": [("assign", 2, 24)], "b@1": [("assign", 2, 24)], "b@2": [], "c@1": [], "c@2": []}
+
+
+def test_suspicious_is_lossless(spark):
+    df = spark.createDataFrame([(t,) for t in CASES], "text string")
+    got = df.select("text", secrets.suspicious(df["text"]).alias("s")).collect()
+    assert all(r.s for r in got if slow(r.text))
+    assert not any(r.s for r in got if not r.text)
+
+
+def test_before_last_line(spark):
+    df = spark.createDataFrame([(None,), ("",), ("one",), ("é\nb\nlast",), ("a\n",)], "text string")
+    assert [r.t for r in df.select(secrets.before_last_line(df["text"]).alias("t")).collect()] == [None, "", "one", "é\nb", "a"]
+
+
 def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = secrets.query(spark, "/root/testdata/sf0.01").collect()

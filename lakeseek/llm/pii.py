@@ -1,17 +1,19 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions alone.
 
-Generators with loose patterns propose spans of four kinds, which may overlap. A candidate that
-meets a match of its kind's strict pattern takes its label from the strict check; one that meets
-none is a weak negative (``WEAK`` of a row's weight). Boosted trees learn from features of format
-and context; per kind, the least margin that reaches ``PRECISION`` on all candidates of the table is the
-threshold. Strict spans always stay; candidates at or above the threshold that overlap no
+Generators with loose patterns propose spans of four kinds, which may overlap. A candidate that is
+a match of its kind's strict pattern, place for place, takes its label from the strict check. One that overlaps
+such matches without being one (a card number within a longer row of digits) has no label and no weight: the trees alone
+judge it. One that meets none is a weak negative (``WEAK`` of a row's weight). Boosted trees learn from features
+of format (digits, separators, a checksum or ending of the candidate itself) and context (words before it, what it
+is glued to) on three quarters of the texts, dealt by hash; the other quarter calibrates, per kind, the least margin that reaches
+``PRECISION``. Strict spans always stay; candidates at or above the threshold that overlap no
 chosen span are added.
 
 Spans come from splitting a text at the pattern: the lengths of the pieces and matches add up to
 positions in code points. Patterns use possessive repeats and look-behinds, so no long run is
 scanned twice and none deepens Java's stack.
 
-Defined cases: a null text is empty and has no spans; a table without candidates adds none;
+Defined cases: a null text is empty and has no spans; a table without candidates, or without any held-out match of a kind, adds none;
 repeated rows come out as often as they go in.
 """
 
@@ -35,6 +37,7 @@ LOOSE = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++(?:@| ?[\[(]at[\])] ?)[\p{L}0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[\p{L}0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+",
     "card": r"(?<![0-9])[0-9](?:[ .-]?[0-9])++",
+    "card_run": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ .-][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9+])[+(]?[0-9](?:[ ().-]{0,2}[0-9])++",
 }
 CUES = {
@@ -43,9 +46,11 @@ CUES = {
     "card": "card|visa|karte|carte|tarjeta|credit",
     "phone": r"phone|\btel|call|fax|mobil|telefon|appel",
 }
-FEATURES = ["kind", "digits", "marked", "style", "valid", "cue", "other_cue", "glued"]
+#: The kind each generator proposes.
+GENERATORS = {"email": "email", "ip": "ip", "card": "card", "card_run": "card", "phone": "phone"}
+FEATURES = ["kind", "digits", "marked", "style", "form", "cue", "other_cue", "glued"]
 RANGES = [3, 7, 1, 2, 1, 1, 1, 1]
-WEAK, PRECISION, ROUNDS = 0.25, 0.98, 20
+WEAK, PRECISION, ROUNDS, FOLDS = 0.25, 0.98, 20, 4
 BLOCK = 256
 
 
@@ -91,22 +96,27 @@ def _checks(hit: str) -> dict[str, str]:
     }
 
 
-def _described(kind: str) -> str:
-    """SQL of the candidates of ``kind`` with their features; label 1, 0 or null (meets no strict match)."""
+def _described(generator: str) -> str:
+    """SQL of a generator's candidates with their features; label 1, 0, -1 (overlaps strict matches, is none) or null (meets none)."""
+    kind = GENERATORS[generator]
     code, d = KINDS.index(kind), _digits("c.hit")
     count = f"char_length({d})"
     others = "|".join(v for k, v in CUES.items() if k != kind)
-    checks = _checks("c.hit") | {"email": "c.hit rlike '^[^\\\\p{L}]*[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]'"}
+    forms = {
+        "email": "c.hit rlike '[A-Za-z]{2,}$'", "ip": _checks("c.hit")["ip"], "phone": "c.hit rlike '[0-9]{3}[ .-]?[0-9]{4}$'",
+        "card": f"(CASE WHEN {count} BETWEEN 12 AND 19 THEN {_luhn('c.hit')} ELSE false END)",
+    }
     cue = lambda p: p.replace("\\", "\\\\")
-    return f"""transform(loose_{kind}, c -> named_struct('kind', {code}, 'start', c.start, 'end', c.end,
+    return f"""transform(loose_{generator}, c -> named_struct('kind', {code}, 'start', c.start, 'end', c.end,
         'digits', CASE WHEN {count} = 0 THEN 0 WHEN {count} < 8 THEN 1 WHEN {count} < 10 THEN 2 WHEN {count} < 12 THEN 3
                        WHEN {count} < 13 THEN 4 WHEN {count} < 16 THEN 5 WHEN {count} < 20 THEN 6 ELSE 7 END,
         'marked', int(c.hit rlike '[+@]'),
         'style', least(2, size(array_distinct(regexp_extract_all(c.hit, '[ ().-]', 0)))),
-        'valid', int({checks[kind]}),
+        'form', int({forms[kind]}),
         'cue', int(lower(c.before) rlike '{cue(CUES[kind])}'), 'other_cue', int(lower(c.before) rlike '{cue(others)}'),
         'glued', int(c.after rlike '[\\\\p{{L}}0-9_]'),
-        'label', CASE WHEN exists(strict_{kind}, s -> s.start < c.end AND c.start < s.end) THEN int(exists({kind}, s -> s.start < c.end AND c.start < s.end)) END))"""
+        'label', CASE WHEN exists(strict_{kind}, s -> s.start = c.start AND s.end = c.end) THEN int(exists({kind}, s -> s.start = c.start AND s.end = c.end))
+                      WHEN exists(strict_{kind}, s -> s.start < c.end AND c.start < s.end) THEN -1 END))"""
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,31 +134,35 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "email": F.contains(body, F.lit("@")) | F.contains(body, F.lit("at]")) | F.contains(body, F.lit("at)")),
         "ip": near["ip"],
         "card": digits & F.col("body").rlike(r"[0-9](?:[ .-]?[0-9]){12}"),
+        "card_run": digits & F.col("body").rlike(r"[0-9](?:[ .-]?[0-9]){12}"),
         "phone": digits & F.col("body").rlike(r"[0-9](?:[ ().-]{0,2}[0-9]){6}"),
     }
     for kind in KINDS:
         rows = located(rows, f"strict_{kind}", body, STRICT[kind], near[kind])
-        rows = located(rows, f"loose_{kind}", body, LOOSE[kind], wide[kind])
+    for generator in GENERATORS:
+        rows = located(rows, f"loose_{generator}", body, LOOSE[generator], wide[generator])
+    none = "cast(array() as array<struct<start:int,end:int,hit:string,before:string,after:string>>)"
     for kind in KINDS:
-        none = "cast(array() as array<struct<start:int,end:int,hit:string,before:string,after:string>>)"
         rows = rows.withColumn(f"strict_{kind}", F.expr(f"coalesce(strict_{kind}, {none})"))
-        rows = rows.withColumn(f"loose_{kind}", F.expr(f"filter(coalesce(loose_{kind}, {none}), c -> {'true' if kind in ('email', 'ip') else 'char_length(' + _digits('c.hit') + ') BETWEEN 7 AND 24'})"))
         rows = rows.withColumn(kind, F.expr(f"filter(strict_{kind}, s -> {_checks('s.hit')[kind]})"))
-    found = rows.withColumn("candidates", F.expr("concat(" + ", ".join(_described(k) for k in KINDS) + ")"))
+    for generator, kind in GENERATORS.items():
+        rows = rows.withColumn(f"loose_{generator}", F.expr(f"filter(coalesce(loose_{generator}, {none}), c -> {'true' if kind in ('email', 'ip') else 'char_length(' + _digits('c.hit') + ') >= 7'})"))
+    found = rows.withColumn("candidates", F.expr("concat(" + ", ".join(_described(g) for g in GENERATORS) + ")"))
     return found.select("row", "body", *KINDS, "candidates")
 
 
 def train(found: DataFrame) -> tuple[list, dict[str, float]]:
     """Trees and thresholds from the candidates of ``with_candidates``; at most a few thousand distinct vectors are collected."""
     # explode_outer: a filter on the array's size would be pushed down and its expressions repeated at every step
-    seen = found.select(F.explode_outer("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(
+    held = F.pmod(F.xxhash64("body"), F.lit(FOLDS)) == 0
+    seen = found.select(held.alias("held"), F.explode_outer("candidates").alias("c")).groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(
         F.count(F.when(F.col("c.label") == 1, 1)).alias("one"),
         F.count(F.when(F.col("c.label") == 0, 1)).alias("zero"),
         F.count(F.when(F.col("c.label").isNull(), 1)).alias("unknown"),
     )
-    table = sorted((tuple(r[f] for f in FEATURES), float(r["one"]), r["zero"] + WEAK * r["unknown"]) for r in seen.collect() if r["kind"] is not None)
-    trees = boosting.fit(table, RANGES, ROUNDS)
-    return trees, {k: boosting.threshold(trees, [t for t in table if t[0][0] == i], PRECISION) for i, k in enumerate(KINDS)}
+    table = sorted((r["held"], tuple(r[f] for f in FEATURES), float(r["one"]), r["zero"] + WEAK * r["unknown"]) for r in seen.collect() if r["kind"] is not None)
+    trees = boosting.fit([t[1:] for t in table if not t[0]], RANGES, ROUNDS)
+    return trees, {k: boosting.threshold(trees, [t[1:] for t in table if t[0] and t[1][0] == i], PRECISION) for i, k in enumerate(KINDS)}
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:

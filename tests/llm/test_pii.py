@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from lakeseek.llm import boosting, pii
@@ -57,6 +58,30 @@ def test_whole_table(spark):
     assert extra >= 0
 
 
+def test_trees_add_planted_cards_and_spare_other_numbers(spark):
+    rng = random.Random(3)
+
+    def card(good=True):
+        d = [rng.randint(0, 9) for _ in range(15)]
+        last = next(x for x in range(10) if luhn("".join(map(str, [*d, x]))))
+        return "".join(map(str, [*d, last if good else (last + 1 + rng.randint(0, 8)) % 10]))
+
+    word = lambda: rng.choice(["red", "house", "tree", "walk", "blue"])
+    rows, planted, decoys = [], 0, 0
+    for i in range(600):
+        kind = i % 6
+        inside = card() if kind < 3 else card(False) if kind < 5 else ""
+        if i % 30 == 5:  # two numbers side by side: one row of 32 digits to the strict pattern
+            a, b = (True, True) if i % 60 == 5 else (False, False)
+            inside = f"{card(a)} {card(b)}"
+            planted, decoys = planted + 2 * a, decoys + 2 * (not a)
+        rows.append((i, f"{word()} {word()} {inside} {word()} {i}"))
+    got = pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = [(r.row.text[s.start : s.end], s.kind) for r in got for s in r.spans if s not in r.base]
+    right = [t for t, k in added if k == 2 and luhn(t)]
+    assert planted == 20 and decoys == 20 and len(right) >= 18 and len(right) >= 0.95 * len(added)
+
+
 def test_trees_learn_and_read_as_sql(spark):
     table = [((k, d, 0, 0, v, 0, 0, 0), 50.0 * (v and d > 2), 50.0 * (not (v and d > 2))) for k in range(4) for d in range(8) for v in (0, 1)]
     trees = boosting.fit(table, pii.RANGES, 20)

@@ -128,3 +128,22 @@ def test_edited_items_without_whole_words():
         leaked = f"{around()} {edited(rng, text, 0.15)} {around()}"
         like = 1 - slow_distance(text, dc.normal(leaked).decode()) / len(text)
         assert dc.Index([(0, text)]).hits([leaked])[0] == ({0: like} if like >= 0.8 else {})
+
+
+def test_recall_against_every_pair(spark):
+    """All items against all documents of up to 6000 characters by edit distance; only a lossless gram count spares pairs."""
+    docs = [(r.doc_id, dc.normal(r.text).decode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    items = [(r.item_id, dc.normal(r.text).decode()) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    rng = random.Random(8)
+    docs = [(i, t) for i, t in docs if len(t) <= 6000]
+    docs += [(10_000 + k, f"{words(rng, 40)} {edited(rng, t, 0.12)} {words(rng, 40)}") for k, (_, t) in enumerate(items)]
+    grams = lambda t: [t[i : i + dc.GRAM] for i in range(len(t) - dc.GRAM + 1)]
+    want, sets = set(), [(i, t, set(grams(t))) for i, t in docs]
+    for item, target in items:
+        own = grams(target)
+        least = len(own) - dc.GRAM * (len(target) // 5)
+        want |= {(i, item) for i, t, s in sets if sum(g in s for g in own) >= least and 1 - dc.distance_within(target, t) / len(target) >= dc.LIKENESS}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(f"x{i}", t) for i, t in items], "item_id string, text string")
+    got = {(r.doc_id, int(r.item_id[1:])) for r in dc.leaks(df, bench).collect()}
+    assert len(want) > 40 and got <= want and len(got) >= 0.9 * len(want)

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 from lakeseek.llm import langid
 
@@ -34,3 +36,30 @@ def test_pieces_change_nothing(spark, monkeypatch):
     whole = sorted((int(b) for _, bs in langid.ngrams([text]) for b in bs))
     monkeypatch.setattr(langid, "PIECE_CHARS", 64)
     assert whole == sorted((int(b) for _, bs in langid.ngrams([text]) for b in bs))
+
+
+def test_against_plain_naive_bayes(spark):
+    """The same model with whole n-grams in dictionaries: no hashing, no matrix, no batches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+
+    def grams(text):
+        t = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
+        for i in range(len(t) - 2):
+            if t[i : i + 2].strip():
+                yield t[i : i + 2]
+            if t[i + 1] != " ":
+                yield t[i : i + 3]
+
+    counts = defaultdict(Counter)
+    for d in docs:
+        if d.lang is not None and d.text is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
+            counts[d.lang].update(grams(d.text))
+    total = {lang: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r.lang_pred for r in langid.query(spark, "/root/testdata/sf0.001").collect()}
+    same = 0
+    for d in docs:
+        g = Counter(grams(d.text))
+        sums = {lang: sum(n * math.log((c[x] + langid.SMOOTHING) / total[lang]) for x, n in g.items()) for lang, c in counts.items()}
+        want = max(sorted(sums), key=sums.get) if any(x.strip() for x in g) else "und"
+        same += got[d.doc_id] == want
+    assert same >= 0.99 * len(docs)

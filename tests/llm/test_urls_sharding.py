@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import xxhash
+
 from lakeseek.llm import sharding, urls
 
 
@@ -57,3 +60,19 @@ def test_shards(spark):
     assert abs({r.shard: r["count"] for r in heavy}[0] / len(rows) - 0.75) < 0.05
     with __import__("pytest").raises(ValueError):
         sharding.rendezvous(df.doc_id, [0.0])
+
+
+def test_winners_and_slots_by_plain_python(spark):
+    rows = sharding.query(spark, "/root/testdata/sf0.001").collect()
+
+    def winner(key, n):
+        def score(shard):
+            draw = xxhash.xxh64_intdigest(str(key).encode(), xxhash.xxh64_intdigest(f"shard-{shard}".encode(), 42)) >> 12
+            return 1.0 / -math.log((draw + 0.5) / (1 << 52))
+
+        return max(range(n), key=score)
+
+    assert all((r.shard, r.grown_shard) == (winner(r.doc_id, 8), winner(r.doc_id, 9)) for r in rows)
+    for shard in range(8):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three parts are compiled once: the normaliser (blank to U+2581 and a leading one), the piece
+Three parts are compiled once: the normaliser (the model's character map, collapsing of blanks, blank to U+2581
+and a leading one; see ``normaliser``), the piece
 transducer (a trie whose accepting arcs emit piece ids) and byte fallback (a character that no
 piece covers emits its UTF-8 bytes). A text is composed with them into a lattice over its
 positions, and the tropical-semiring shortest path gives the ids.
@@ -13,8 +14,8 @@ for every prefix, and so each position keeps one finite state: the last piece.
 Where no piece has U+2581 behind another character, paths through different words share no
 piece, so the lattice is cut there and words are memoised in a bounded table.
 
-Defined cases: a null text encodes like an empty one, to no ids; any other text decodes to itself,
-except that U+2581 in it comes back as a blank; ids of control pieces decode to nothing; byte
+Defined cases: a null text encodes like an empty one, to no ids; any other text decodes to its normal form
+(itself, for a model without a character map), except that U+2581 in it comes back as a blank; ids of control pieces decode to nothing; byte
 ids that aren't UTF-8 decode to U+FFFD.
 """
 
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeseek.llm.common import bounded_batches, read_table
+from lakeseek.llm.normaliser import SPACE, Normaliser
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 MEMO = 400_000
 PAIRS = 1_000_000
@@ -47,19 +48,20 @@ def load(path: str = MODEL) -> dict:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     spec = model.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-        raise ValueError("only models with the identity normaliser are supported")
+    if not spec.escape_whitespaces:
+        raise ValueError("only models that write blanks as U+2581 are supported")
     if model.trainer_spec.model_type not in (1, 2) or model.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("only unigram and BPE models with U+2581 in front are supported")
     return {
         "pieces": [p.piece for p in model.pieces], "scores": [p.score for p in model.pieces], "types": [p.type for p in model.pieces],
-        "bpe": model.trainer_spec.model_type == 2, "prefix": spec.add_dummy_prefix,
+        "bpe": model.trainer_spec.model_type == 2, "prefix": spec.add_dummy_prefix, "charsmap": spec.precompiled_charsmap, "collapse": spec.remove_extra_whitespaces,
     }
 
 
 class Transducer:
     def __init__(self, model: dict):
         self.pieces, self.scores, self.prefix, self.bpe = model["pieces"], model["scores"], model["prefix"], model["bpe"]
+        self.normal = Normaliser(model.get("charsmap", b""), model.get("collapse", False), self.prefix)
         self.unknown = model["types"].index(UNKNOWN)
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, model["types"])) if t == BYTE}
         self.ids, self.root = {}, ({}, [_NONE])
@@ -176,7 +178,9 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        normal = self.normal(text)
+        if not normal:
+            return []
         if self.words is None:
             return self.shortest_path(normal)
         out: list[int] = []
@@ -184,10 +188,19 @@ class Transducer:
             out += ids
         return out
 
+    def plain(self, text: str | None) -> str:
+        """What decoding the text's ids gives back: its normal form with blanks."""
+        return self._unprefixed(self.normal(text or "").replace(SPACE, " "))
+
+    def _unprefixed(self, text: str) -> str:
+        """Without the leading blank of the normaliser; where it collapses blanks, without any leading one."""
+        if self.normal.collapse:
+            return text.lstrip(" ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
     def decode(self, ids) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self._unprefixed(b"".join([raw[i] for i in ids]).decode("utf-8", "replace"))
 
 
 class _Memo(dict):
@@ -219,7 +232,7 @@ def _compiled(shared) -> Transducer:
 def _share(spark: SparkSession, path: str):
     bounded_batches(spark)
     model = load(path)
-    model["key"] = hashlib.sha256(repr((model["pieces"], model["bpe"])).encode()).hexdigest()
+    model["key"] = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
     return spark.sparkContext.broadcast(model)  # as large as the vocabulary file
 
 
@@ -268,7 +281,7 @@ def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 ids = t.encode(text)
                 flat = np.array(ids, "<i4")
-                rows.append((len(ids), int(((flat >= low) & (flat <= high)).sum()), hashlib.sha256(flat.tobytes()).hexdigest(), t.decode(ids) == (text or "").replace(SPACE, " ")))
+                rows.append((len(ids), int(((flat >= low) & (flat <= high)).sum()), hashlib.sha256(flat.tobytes()).hexdigest(), t.decode(ids) == t.plain(text)))
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_ids", "n_byte_ids", "ids_sha256", "round_trip"])
 

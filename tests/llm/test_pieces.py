@@ -35,6 +35,26 @@ def test_same_ids_as_the_library(ours, theirs, spark):
     assert "�" in ours.decode([ours.byte[0xFF], ours.byte[0xC3]])
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc", "identity"])
+@pytest.mark.parametrize("collapse", [True, False])
+def test_compiled_normaliser(rule, collapse, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    with open(pieces.MODEL, "rb") as f:
+        model = proto.ModelProto.FromString(f.read())
+    spec = proto.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec
+    model.normalizer_spec.precompiled_charsmap = spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = collapse
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    theirs, ours, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(pieces.load(path)), random.Random(7)
+    letters = "aeE n\u0301\u0308\u0327éﬁ½①ＡＢ\u3000\u00a0\u200b\t\n\u1100\u1161\u11a8가ｶﾞ\u0345ΑΣς²ǆ "
+    for t in CASES + ["".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(1500)]:
+        assert ours.encode(t) == theirs.encode(t), (t, ours.normal(t))
+        assert ours.decode(ours.encode(t)) == theirs.decode(theirs.encode(t)) == ours.plain(t), t
+
+
 def test_shortest_path_of_weights():
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "▁ab"]
     scores = [0.0, -3.0, -2.0, -2.0, -1.0, -2.5, -6.0]

@@ -93,14 +93,14 @@ def forget_run(spark, sf):
 @query("trace_rows", f"""WITH {DOCS}, {POSTED}, {SPARSE}, priced AS (
   SELECT user_id AS query_id, event_id % 1000 AS p, user_id AS c, CASE event_type WHEN 'view' THEN (event_id % 1000) / 1000.0::DOUBLE * 0.003 + user_id / 1000.0::DOUBLE * 0.015 WHEN 'click' THEN (event_id % 1000) / 1000.0::DOUBLE * 0.00025 + user_id / 1000.0::DOUBLE * 0.00125 ELSE 0.0 END AS cost FROM events),
 u AS (SELECT query_id, sum(p)::BIGINT AS p, sum(c)::BIGINT AS c, sum(cost) AS cost FROM priced GROUP BY ALL), h AS (SELECT query_id, count(*) AS n, arg_min(chunk_id, rank) AS first FROM sparse GROUP BY ALL)
-SELECT query_id, coalesce(n, 0)::INT AS n_hits, first AS first_hit, coalesce(p + c, 0)::BIGINT AS total_tokens, round(coalesce(cost, 0.0), 6) AS cost_usd FROM asked LEFT JOIN h USING (query_id) LEFT JOIN u USING (query_id)""")
+SELECT query_id, coalesce(n, 0)::INT AS n_hits, first AS first_hit, coalesce(p + c, 0)::BIGINT AS total_tokens, round(coalesce(cost, 0.0), 8) AS cost_usd FROM asked LEFT JOIN h USING (query_id) LEFT JOIN u USING (query_id)""")
 def trace_rows(spark, sf):
     asked = tables.questions(spark, sf)
     model = F.when(F.col("event_type") == "view", "claude-sonnet-4-6").when(F.col("event_type") == "click", "claude-haiku-4-5-20251001").when(F.col("event_type") == "error", "baai/bge-m3").otherwise("unknown-model")
     usage = tables.read(spark, sf, "events").select(F.col("user_id").alias("query_id"), model.alias("model"), (F.col("event_id") % 1000).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"))
     state = asked.select("query_id", F.lit(False).alias("refused"), F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("cache"))
     rows = observe.trace_rows(state, bm25.top_k(asked, tables.document_chunks(spark, sf)), usage, observe.prices(spark), F.expr(NOW))
-    return rows.select("query_id", "n_hits", F.try_element_at("hits", F.lit(1))["chunk_id"].alias("first_hit"), "total_tokens", F.round("cost_usd", 6).alias("cost_usd"))
+    return rows.select("query_id", "n_hits", F.try_element_at("hits", F.lit(1))["chunk_id"].alias("first_hit"), "total_tokens", F.round("cost_usd", 8).alias("cost_usd"))
 
 
 @query("run_scores", """WITH s AS (SELECT user_id AS trace_id, event_type AS name, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY ALL), t AS (SELECT DISTINCT conv_id AS trace_id, conv_id // 2 AS item_id FROM conversations)

@@ -17,6 +17,8 @@ from lakeseek.llm.common import read_table
 
 #: Row groups that a shard is dealt into so that slots are numbered in parallel.
 SLOT_GROUPS = 2048
+#: Copies of one row that are unfolded from one array.
+COPY_BLOCK = 4096
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -57,10 +59,12 @@ def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float =
     numbered = placed.withColumn("upto", F.sum("copies").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     # at most len(weights) * groups rows, whatever the table's size
     joined = numbered.join(F.broadcast(offsets), ["shard", "slot_group"])
-    first = F.col("offset") + F.col("upto") - F.col("copies")
-    return joined.select(
+    # copies of a row come back block by block, so that no array holds them all
+    last = F.col("offset") + F.col("upto") - 1
+    blocks = joined.withColumn("last", last).withColumn("from", F.explode(F.sequence(last - F.col("copies") + 1, last, F.lit(COPY_BLOCK).cast("long"))))
+    return blocks.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard",
-        F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"),
+        F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPY_BLOCK - 1, F.col("last")))).alias("slot"),
     ).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 

@@ -76,3 +76,12 @@ def test_winners_and_slots_by_plain_python(spark):
     for shard in range(8):
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPY_BLOCK", 7)
+    df = spark.createDataFrame([(1, "a")] * 50 + [(None, None)] * 21 + [(2, "b")], "doc_id long, text string")
+    rows = sharding.shard_documents(df, [1.0] * 3).collect()
+    assert len(rows) == 72
+    for shard in range(3):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))

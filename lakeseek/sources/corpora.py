@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeseek.functions.ranks import numbered
+
 MAX_BYTES = 25 * 1024 * 1024
 TEXT_TYPES = ("text/plain", "text/markdown", "text/html")
 
@@ -31,14 +33,21 @@ def titled_golden(rows: DataFrame) -> DataFrame:
 
 
 def papers(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """JSON lines with id, title and abstract (or text); blank lines are skipped by the reader."""
-    df = spark.read.schema("id string, title string, abstract string, text string").json(path)
-    df = df.select(F.coalesce("id", "title").alias("doc_id"), "title", F.coalesce("abstract", "text").alias("text")).where("text is not null")
-    return df.limit(limit) if limit is not None else df
+    """JSON lines with id, title and abstract (or text); blank lines are skipped, ``limit`` counts raw lines, blank ones too.
+
+    A line without an id is named by its number.
+    """
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    lines = numbered(raw, [], ["file_path", "file_block_start", "place"], "line").where("trim(value) <> ''")
+    lines = lines.where(F.col("line") <= limit) if limit is not None else lines
+    row = lines.select("line", F.from_json("value", "id string, title string, abstract string, text string").alias("r"))
+    return row.select(F.coalesce("r.id", F.format_string("arxiv::%06d", F.col("line") - 1)).alias("doc_id"), "r.title", F.coalesce("r.abstract", "r.text", F.lit("")).alias("text"))
 
 
-def generated_golden(docs: DataFrame, generate) -> DataFrame:
-    """Questions by a generator column function that gives JSON; rows that don't parse are skipped."""
+def generated_golden(docs: DataFrame, generate=None) -> DataFrame:
+    """Questions by a generator column function that gives JSON; rows that don't parse are skipped. Without a generator there is no golden set."""
+    if generate is None:
+        raise ValueError("a golden set of papers needs a generator")
     parsed = docs.withColumn("g", F.from_json(generate(F.col("text")), "question string, answer string"))
     return parsed.where("g.question is not null and g.answer is not null").select("doc_id", "g.question", F.col("g.answer").alias("expected_output"))
 
@@ -118,3 +127,9 @@ def holding(docs: DataFrame, items: DataFrame, item: str = "query_id", text: str
     if not short.limit(1).count():
         return found
     return found.unionByName(docs.join(short, F.contains(docs["text"], short["_text"])).select(item, "doc_id"))
+
+
+def assigned_tenants(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, tenant_id: about 90 % public, 5 % tenant_a, 5 % tenant_b, by a hash of seed and id."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(100))
+    return docs.select("doc_id", F.when(draw < 90, "public").when(draw < 95, "tenant_a").otherwise("tenant_b").alias("tenant_id"))

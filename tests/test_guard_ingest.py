@@ -188,3 +188,14 @@ def test_experiment_scores_and_gate_command(spark, tmp_path):
     assert experiment.main([*args, "one", "--new-run", "one"]) == 0 and experiment.main([*args, "one", "--new-run", "two"]) == 1 and experiment.main([*args, "one", "--new-run", "none"]) == 1
     with pytest.raises(ValueError):
         experiment.run(golden.limit(0), chunks, "one")
+
+
+def test_papers_by_raw_lines(spark, tmp_path):
+    lines = ['{"id": "a", "title": "A", "abstract": "x"}', "", '{"title": "B", "text": "y"}', "  ", '{"id": "c", "title": "C"}']
+    (tmp_path / "p.jsonl").write_text("\n".join(lines))
+    got = lambda n: sorted((r.doc_id, r.title, r.text) for r in corpora.papers(spark, str(tmp_path / "p.jsonl"), n).collect())
+    assert got(None) == [("a", "A", "x"), ("arxiv::000002", "B", "y"), ("c", "C", "")] and got(3) == got(None)[:2] and got(2) == got(None)[:1]
+    with pytest.raises(ValueError):
+        corpora.generated_golden(spark.range(1))
+    shares = {r.tenant_id: r["count"] for r in corpora.assigned_tenants(spark.range(4000).withColumnRenamed("id", "doc_id")).groupBy("tenant_id").count().collect()}
+    assert 3500 < shares["public"] < 3700 and 120 < shares["tenant_a"] < 290 and 120 < shares["tenant_b"] < 290

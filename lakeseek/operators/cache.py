@@ -19,7 +19,7 @@ def collection_key(collection: Column) -> Column:
 
 def tags_key(tags: Column) -> Column:
     """Callers with other tags see other chunks, so they must not share entries."""
-    return F.array_join(F.array_sort(tags), "|")
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(tags, F.array().cast("array<string>")))))
 
 
 def live(entries: DataFrame, now: Column) -> DataFrame:

@@ -21,8 +21,9 @@ def chunk(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP)
     tokens = F.flatten(F.transform(paragraphs(F.col("text")), words))
     n = F.size("all_tokens")
     count = F.when(n == 0, 0).when(n <= max_tokens, 1).otherwise(1 + F.ceil((n - max_tokens) / step)).cast("int")
-    numbered = docs.withColumn("all_tokens", tokens).withColumn("n_windows", count).where("n_windows > 0")
-    rows = numbered.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    counted = docs.withColumn("all_tokens", tokens).withColumn("n_windows", count)
+    # outer, and filtered by its result: a filter on the count would be pushed below and split every text twice
+    rows = counted.withColumn("ordinal", F.explode_outer(F.when(F.col("n_windows") > 0, F.sequence(F.lit(0), F.col("n_windows") - 1)))).where("ordinal is not null")
     cut = F.slice("all_tokens", F.col("ordinal") * step + 1, F.lit(max_tokens))
     kept = [c for c in docs.columns if c != "text"]
     return rows.select(

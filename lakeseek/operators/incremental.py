@@ -45,12 +45,25 @@ def patched(index: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumn("title", F.coalesce("new_title", "title")).withColumn("acl_tags", F.coalesce("new_tags", "acl_tags")).withColumn("acl_open", F.size("acl_tags") == 0).drop("new_title", "new_tags")
 
 
+def one_per_key(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key: the greatest by ``order``, then by its other columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    told = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*(order or []), *rest])])
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), told).alias("last"))
+    return last.select(*keys, "last.*").select(*rows.columns)
+
+
 def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The table with ``rows`` in place of those of the same keys; of repeated keys in ``rows`` one row counts."""
+    rows = one_per_key(rows, keys)
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
 def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """On conflict do nothing."""
+    """On conflict do nothing; of repeated keys in ``rows`` one row counts."""
+    rows = one_per_key(rows, keys)
     return table.select(*table.columns).unionByName(rows.join(table.select(*keys), keys, "left_anti").select(*table.columns))
 
 

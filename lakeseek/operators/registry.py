@@ -75,9 +75,17 @@ def without_chunks(index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def patched_chunks(index: DataFrame, updates: DataFrame) -> DataFrame:
-    """Titles and tags (tenant_id, chunk_id, caller_tags, title, acl_tags) replaced where the caller may touch the chunk."""
-    allowed_ones = updates.join(within_rights(index, updates), ["tenant_id", "chunk_id"], "left_semi")
-    return incremental.patched(index, allowed_ones)
+    """Titles and tags (tenant_id, chunk_id, caller_tags, title, acl_tags) replaced where the update's own caller may touch the chunk.
+
+    Each update is held against the tags of its own caller. Of several permitted updates of one chunk the one of
+    highest ``seq`` counts where there is such a column, then the greatest title and tags.
+    """
+    key = ["tenant_id", "chunk_id"]
+    held = index.select(*key, F.col("acl_tags").alias("held_tags"))
+    permitted = updates.join(held, key).where(allowed(F.col("held_tags"), F.col("caller_tags")))
+    order = [c for c in ("seq",) if c in updates.columns]
+    last = permitted.groupBy(*key).agg(F.max(F.struct(*order, "title", "acl_tags")).alias("u"))
+    return incremental.patched(index, last.select(*key, "u.title", "u.acl_tags"))
 
 
 # ---- manifests and blobs -------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeseek.llm import decontaminate, fingerprints, langid, pieces, pii, secrets, sharding, simhash, suffixes, urls
+from lakeseek.llm import audit, chat, decontaminate, fingerprints, langid, pieces, pii, secrets, sharding, simhash, spelling, suffixes, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secrets": secrets.query,
     "op10_pii": pii.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_filter_audit": audit.query,
+    "op13_chat_formatting": chat.query,
 }
 
 ORACLES = {
     "op4_url_filters": urls.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
+    "op13_chat_formatting": chat.ORACLE,
 }

@@ -1,0 +1,107 @@
+import random
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from lakeseek.llm import spelling
+
+SCHEMA = "doc_id long, text string, word string, n long"
+
+
+def plain_words(docs):
+    counts = Counter()
+    letters = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | {chr(c) for c in range(0xC0, 0x100)}
+    for doc_id, text in docs:
+        run = ""
+        for ch in (text or "") + " ":
+            if ch in letters:
+                run += ch.lower() if ch.isascii() else ch
+                continue
+            if run:
+                h = zlib.crc32(f"{doc_id}:{run}".encode())
+                counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+            run = ""
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_groups(words):
+    near = {w: [x for x in words if one_edit(w, x)] for w in words}
+    form = {}
+    for w, xs in near.items():
+        best = min(xs, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * words[w] else None
+    out = set()
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, form[w], root, words[w], len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def rows(df):
+    return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
+
+
+def test_variants_equal_plain_python(spark):
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 9))) for _ in range(40)]
+    docs = []
+    for i in range(150):
+        words = []
+        for _ in range(120):
+            w = rng.choice(stems[: rng.choice([3, 10, 40])])
+            if rng.random() < 0.3:
+                at = rng.randrange(len(w))
+                w = rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice("abcÿ") + w[at:], w[:at] + rng.choice("abcé") + w[at + 1 :]])
+            words.append(w.upper().replace("É", "é").replace("Ÿ", "ÿ") if rng.random() < 0.2 else w)
+        docs.append((i, rng.choice([" ", ", ", "1", "-"]).join(words)))
+    docs += [(200, None), (201, ""), (202, "123 ... \n"), (203, "é" * 3000), (203, "é" * 3000), (0, docs[0][1]), (None, "ababab " * 7), (300, "zzzzzz " * 300 + "zzzzzzy " * 40 + "zzzzzzyx " * 6)]
+    table = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], SCHEMA)
+    want = plain_groups(plain_words([("null" if i is None else i, t) for i, t in docs]))
+    assert len(want) > 200 and sum(1 for w in want if w[1]) > 50 and any(w[2] not in (w[0], w[1]) for w in want)
+    assert rows(spelling.variants(table)) == want
+
+
+def test_sf_equals_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = plain_groups(plain_words([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+    assert rows(spelling.query(spark, "/root/testdata/sf0.001")) == want and want
+
+
+def test_all_pairs_of_a_dense_vocabulary(spark):
+    words = {"".join("ab"[i >> k & 1] for k in range(7)): i + 5 for i in range(128)} | {"ab" * k: 9 for k in range(3, 30)} | {"a" * k: 7 for k in range(6, 40)}
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {(r.a, r.b) for r in spelling.near_pairs(table).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and one_edit(a, b)}
+
+
+def test_pivots_are_the_cheapest_disjoint_grams():
+    rng = random.Random(1)
+    for _ in range(500):
+        spots = sorted(rng.sample(range(9), 5))
+        cost = [rng.randint(1, 9) for _ in spots]
+        want = min(cost[i] + cost[j] for i in range(5) for j in range(i) if spots[i] - spots[j] >= 2)
+        a, b = spelling.pivots(spots, cost)
+        assert b - a >= 2 and cost[spots.index(a)] + cost[spots.index(b)] == want
+
+
+def test_long_chains_are_followed(spark):
+    words = [("aaaaaa" + "b" * k, 5 ** (k + 1)) for k in range(9)]
+    got = {r.word: r.root for r in spelling.grouped(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert set(got.values()) == {words[-1][0]} and len(got) == 9
+
+
+def test_empty(spark):
+    assert spelling.variants(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert spelling.variants(spark.createDataFrame([(1, "short", "x", 1)], SCHEMA)).select(F.count("*")).first()[0] == 0

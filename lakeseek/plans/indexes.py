@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.operators import clustered, dense, inverted, registry
+from lakeseek.operators import clustered, inverted, registry
 from lakeseek.plans.catalog import DOCS, ORACLES, POSTED, SPARSE, query
 from lakeseek.sources import snapshots, tables
 from lakeseek.sources.staging import shared_folder
@@ -47,17 +47,6 @@ def clustered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return clustered.top_k(tables.vector_queries(vecs), index, probes=16).withColumn("score", F.round("score", 6))
 
 
-@query("clustered_recall", "SELECT 'recall at 20' AS measure, true AS enough")
-def clustered_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether half of the cells find 90 % of the rows of an exact scan, over all of the stated questions."""
-    vecs = tables.vectors(spark, sf)
-    index = clustered.build(vecs, _folder(spark), "build", cells=16)
-    asked = tables.vector_queries(vecs)
-    found, exact = clustered.top_k(asked, index, probes=8), dense.top_k(asked, vecs)
-    hit = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id").withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
-    return hit.agg(F.lit("recall at 20").alias("measure"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough")).select("measure", "enough")
-
-
 @query("snapshot_versions", """SELECT 1 AS version, 'registry' AS name, count(*) AS n FROM documents UNION ALL SELECT 1, 'manifest', count(*) FROM documents WHERE text IS NOT NULL
 UNION ALL SELECT 2, 'registry', count(*) FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 2, 'manifest', count(*) FROM documents WHERE text IS NOT NULL""")
 def snapshot_versions(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,8 +18,8 @@ def test_recall_and_cells_opened_on_the_table(spark, tmp_path):
     asked = tables.vector_queries(vecs)
     index = clustered.build(vecs, str(tmp_path / "v"), "run", cells=16)
     exact = dense.top_k(asked, vecs)
-    share = clustered.recall(clustered.top_k(asked, index, probes=6), exact)
-    assert share >= 0.9, share
+    share = clustered.recall(clustered.top_k(asked, index, probes=12), exact)
+    assert share >= 0.9, share  # these vectors have hardly any clusters, so three of four cells are needed
     assert index.rows().count() == vecs.count()
     probed = clustered.looked_into(asked.limit(1), index, 2)
     scan = clustered._rows_of(index, probed)._jdf.queryExecution().executedPlan().toString()
@@ -28,6 +28,16 @@ def test_recall_and_cells_opened_on_the_table(spark, tmp_path):
     assert met.select("tenant_key", "cell").distinct().count() <= 2 and met.select("tenant_id").distinct().count() == 1
 
 
+def test_clustered_vectors_need_few_cells(spark, tmp_path):
+    rng = random.Random(3)
+    homes = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in homes[i % 40]], "tu"[i % 3 == 0], [] if i % 5 else ["board"], None) for i in range(4000)]
+    vecs = spark.createDataFrame(rows, ROWS).cache()
+    asked = spark.createDataFrame([(i, [x + rng.gauss(0, 0.25) for x in rng.choice(homes)], "t", [], None) for i in range(40)], ASKED)
+    index = clustered.build(vecs, str(tmp_path / "v"), "run", cells=32)
+    assert clustered.recall(clustered.top_k(asked, index, probes=4), dense.top_k(asked, vecs)) >= 0.9
+
+
 def test_all_cells_give_the_exact_lists(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)], rng.choice("tu"), rng.choice([[], ["board"]]), rng.choice(["a", None])) for i in range(300)]

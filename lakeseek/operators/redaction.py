@@ -116,7 +116,11 @@ def types_of(found: Column) -> Column:
 
 def ingested(docs: DataFrame, mode: str = "redact") -> DataFrame:
     """Documents with pii_spans; in redact mode their texts are cleaned, in keep mode pii_types names what they hold."""
-    found = docs.withColumn("pii_spans", spans(F.col("text")))
+    return treated(docs.withColumn("pii_spans", spans(F.col("text"))), mode)
+
+
+def treated(found: DataFrame, mode: str = "redact") -> DataFrame:
+    """``ingested`` of documents whose pii_spans are known."""
     if mode == "redact":
         return found.withColumn("text", redacted(F.col("text"), F.col("pii_spans")))
     if mode == "keep":

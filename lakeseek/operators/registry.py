@@ -141,23 +141,28 @@ def parsed(files: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("content").isNull(), "KeyError").when(F.col("reason").isNotNull(), "UnsupportedTypeError").when(empty_text, "ParserError")).drop("reason")
 
 
-def ingest(registry: DataFrame, files: DataFrame, manifest: DataFrame, now: Column, mode: str = "redact") -> dict[str, DataFrame]:
+def ingest(registry: DataFrame, files: DataFrame, manifest: DataFrame, now: Column, mode: str = "redact", salt: str | None = None) -> dict[str, DataFrame]:
     """One run over many documents: parse, stamp the collection, redact, chunk, diff, mark READY or FAILED.
 
     files: document_id, content (of registered documents; others are ignored). A file that can't be parsed marks its
     document failed with the fault's name and leaves manifest and chunks as they were. Returns registry,
-    manifest, chunks (with action embed or meta), deleted (chunk ids) and changed (documents whose cached answers go).
+    manifest, chunks (with action embed or meta), deleted (chunk ids), changed (documents whose cached answers go) and
+    audit (a row without the value for each finding: by document before it was redacted, by chunk where it is kept; with a
+    digest of the value where there is a ``salt``).
     """
     known = registry.select("document_id", "tenant_id", "filename", "content_type", "collection_id").join(files.select("document_id", "content"), "document_id")
     docs = staged(parsed(known))
     good = docs.where("error is null").select(
         F.col("document_id").alias("doc_id"), "tenant_id", "collection_id", "text", F.col("filename").alias("title"), F.col("content_type").alias("source"), F.array().cast("array<string>").alias("acl_tags"),
     )
-    clean = redaction.ingested(good, mode).drop("pii_spans", "pii_types")
+    found = staged(good.withColumn("pii_spans", redaction.spans(F.col("text"))))
+    clean = redaction.treated(found, mode).drop("pii_spans", "pii_types")
     chunks = chunking.chunk(clean)
     if mode == "keep":
-        chunks = chunks.withColumn("pii_types", redaction.types_of(redaction.spans(F.col("text"))))
+        chunks = chunks.withColumn("pii_spans", redaction.spans(F.col("text"))).withColumn("pii_types", redaction.types_of(F.col("pii_spans")))
     chunks = staged(chunks)
+    seen = chunks if mode == "keep" else found.withColumn("chunk_id", F.lit("doc_redaction"))
+    audit = redaction.audit(seen, now, salt, salt is not None)
     rows = incremental.hashed(chunks)
     mine = good.select("tenant_id", "doc_id")
     told = staged(incremental.diff(manifest.join(mine, ["tenant_id", "doc_id"], "left_semi"), rows))
@@ -167,7 +172,8 @@ def ingest(registry: DataFrame, files: DataFrame, manifest: DataFrame, now: Colu
     return {
         "registry": with_status(registry, ready.unionByName(bad), now),
         "manifest": incremental.after(manifest, rows, mine),
-        "chunks": chunks.join(told.where("action in ('embed', 'meta')"), ["tenant_id", "doc_id", "chunk_id"]),
+        "audit": audit,
+        "chunks": chunks.drop("pii_spans").join(told.where("action in ('embed', 'meta')"), ["tenant_id", "doc_id", "chunk_id"]),
         "deleted": told.where("action = 'delete'").select("tenant_id", "chunk_id"),
         "changed": good.select("tenant_id", "doc_id", "collection_id"),
     }

@@ -34,23 +34,31 @@ def question_vectors(queries: DataFrame, text: str = "question") -> DataFrame:
     return vectors_of(queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"), F.lit(1).alias("tf")), ["query_id"], "query_vector")
 
 
-def dense_ranking(queries: DataFrame, index: bm25.Index, k: int = 20) -> DataFrame:
-    """query_id, chunk_id, score, rank by hashed vectors of the index's term counts."""
+def dense_ranking(queries: DataFrame, index: bm25.Index, k: int = 20, embed=None, chunks: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank by hashed vectors of the index's term counts, or by those of ``embed``.
+
+    embed(rows, keys, text, name) gives ``keys`` and a vector ``name`` of each row's ``text``. Chunks that have a column
+    embedding keep it.
+    """
+    if embed is not None:
+        held = chunks.select(*CHUNK, "embedding") if "embedding" in chunks.columns else embed(chunks, CHUNK, "text", "embedding")
+        asked = queries.join(embed(queries, ["query_id"], "question", "query_vector"), "query_id").select("query_id", "tenant_id", "caller_tags", "query_collection", "query_vector")
+        return dense.top_k(asked, index.listed.select(*bm25.ATTRIBUTES).join(held, CHUNK), k, "chunk_id")
     vecs = index.listed.select(*bm25.ATTRIBUTES).join(vectors_of(bm25.unfolded(index.listed).select(*CHUNK, "term", "tf"), CHUNK, "embedding"), CHUNK)
     asked = queries.join(question_vectors(queries), "query_id").select("query_id", "tenant_id", "caller_tags", "query_collection", "query_vector")
     return dense.top_k(asked, vecs, k, "chunk_id")
 
 
-def both_rankings(queries: DataFrame, index: bm25.Index, k: int = 20) -> DataFrame:
-    return dense_ranking(queries, index, k).select("query_id", F.lit("dense").alias("source"), "chunk_id", "score").unionByName(
+def both_rankings(queries: DataFrame, index: bm25.Index, k: int = 20, embed=None, chunks: DataFrame | None = None) -> DataFrame:
+    return dense_ranking(queries, index, k, embed, chunks).select("query_id", F.lit("dense").alias("source"), "chunk_id", "score").unionByName(
         bm25.top_k(queries, index, k).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "score")
     )
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, window: int = fusion.FUSE_WINDOW, top: int = fusion.RERANK_TOP, index: bm25.Index | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, window: int = fusion.FUSE_WINDOW, top: int = fusion.RERANK_TOP, index: bm25.Index | None = None, embed=None) -> DataFrame:
     """query_id, tenant_id, chunk_id, rank, score, rerank_score, component_scores and the chunk's attributes: dense and sparse, fused, reranked."""
     index = index or bm25.build(chunks)
-    fused = fusion.fuse(both_rankings(queries, index, k)).where(F.col("rank") <= window)
+    fused = fusion.fuse(both_rankings(queries, index, k, embed, chunks)).where(F.col("rank") <= window)
     late = fused.join(queries.select("query_id", "tenant_id", "question"), "query_id").join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
     return fusion.rerank(late, fusion.overlap_score(), top)
 
@@ -74,32 +82,41 @@ def suspected(ranked: DataFrame, fold=guard.folded) -> DataFrame:
     return found.select("query_id", F.explode("labels").alias("label")).groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("suspected"))
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None) -> tuple[DataFrame, DataFrame | None]:
-    """Reranked rows of the questions (question holds the text to search by), and new entries of the retrieval tier.
+def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None, embed=None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Reranked rows of the questions (question holds the text to search by), new entries of the retrieval tier, and the questions that it answered.
 
     queries: with query_vector where there is a tier. Questions that the tier answers skip retrieval; their
     chunks are joined again, under the rights of the caller that the tier's partition stands for.
     """
     if tier is None:
-        return hybrid(queries.drop("query_vector"), chunks), None
+        return hybrid(queries.drop("query_vector"), chunks, embed=embed), None, None
     hits = staged(cache.lookup(cache.asked(queries), tier, now).join(tier.select("entry_id", "payload"), "entry_id").select("query_id", F.from_json("payload", RANKED).alias("ranked")))
     known = hits.select("query_id", F.explode("ranked").alias("r")).select("query_id", "r.*").join(queries.select("query_id", "tenant_id", "question"), "query_id").join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
     rest = queries.join(hits.select("query_id"), "query_id", "left_anti")
-    fresh = staged(hybrid(rest.drop("query_vector"), chunks).drop("component_scores"))
+    fresh = staged(hybrid(rest.drop("query_vector"), chunks, embed=embed).drop("component_scores"))
     lists = fresh.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "rerank_score", "doc_id"))).alias("r"))
     payload = F.to_json(F.transform("r", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["rank"].alias("rank"), x["score"].alias("score"), x["rerank_score"].alias("rerank_score"))))
     made = cache.entries(rest.join(lists, "query_id").withColumn("payload", payload).withColumn("doc_ids", F.array_distinct(F.transform("r", lambda x: x["doc_id"].cast("string")))), now)
-    return fresh.unionByName(known.select(*fresh.columns)), made
+    return fresh.unionByName(known.select(*fresh.columns)), made, hits.select("query_id")
+
 
+def answers(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """The answers of ``answered``."""
+    return answered(queries, chunks, **options)[0]
 
-def answers(
+
+def answered(
     queries: DataFrame, chunks: DataFrame, budget: int = context.BUDGET, fold=guard.folded, generate=extractive, synonyms: DataFrame | None = None, expand=None,
-    answer_tier: DataFrame | None = None, retrieval_tier: DataFrame | None = None, now: Column | None = None,
-) -> DataFrame:
-    """query_id, answer, refused, blocked, cited and context chunk_ids, doc_ids, suspected, cache of every question.
+    answer_tier: DataFrame | None = None, retrieval_tier: DataFrame | None = None, now: Column | None = None, embed=None, scan_output: bool = False, judge=None, schema: tuple[str, list[str]] | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """query_id, answer, refused, blocked, cited and context chunk_ids, doc_ids, suspected, cache of every question, and new entries of the retrieval tier.
 
     The rewritten text feeds retrieval and the cache key alone; generation keeps the question. A hit of the
-    answer tier returns at once. ``cache_entries`` makes new entries of the result.
+    answer tier returns at once, one of the retrieval tier skips the search. ``cache_entries`` makes new entries of the answers.
+
+    Output guards, in order: citations; the schema (DDL and required fields) of the generator's column candidate; personal data in
+    the answer where ``scan_output`` is set, which is redacted; groundedness where there is a ``judge``, a column function of
+    answer and context ids that gives a faithfulness, or null where it had no time. A blocked answer leaves nothing but the refusal.
     """
     judged = admitted(queries, fold)
     open_queries = judged.where("not blocked").drop("blocked")
@@ -113,7 +130,8 @@ def answers(
         found = cache.lookup(cache.asked(searched), answer_tier, now).join(answer_tier.select("entry_id", "payload"), "entry_id")
         cached = staged(found.select("query_id", F.from_json("payload", ANSWER).alias("a")))
         searched = searched.join(cached.select("query_id"), "query_id", "left_anti")
-    ranked = staged(retrieved(searched, chunks, retrieval_tier, now)[0].drop("component_scores"))
+    found_rows, entries, tier_hits = retrieved(searched, chunks, retrieval_tier, now, embed)
+    ranked = staged(found_rows.drop("component_scores"))
     packed = context.pack(ranked.drop("question").join(open_queries.select("query_id", "question"), "query_id"), budget)
     written = generate(packed).withColumn("markers", context.markers(F.col("answer"), F.col("claimed")))
     cited = context.citations(written, packed).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("cited"))
@@ -124,27 +142,37 @@ def answers(
         whole = whole.join(part, "query_id", "left")
     whole = whole.select(
         "query_id", "answer", *[F.coalesce(c, none).alias(c) for c in ("cited", "context_ids", "doc_ids", "suspected")],
-        *[F.coalesce(c, no_markers).alias(c) for c in ("claimed", "valid")], F.col("answer").isNull().alias("refused"),
+        *[F.coalesce(c, no_markers).alias(c) for c in ("claimed", "valid")], F.col("answer").isNull().alias("refused"), *(["candidate"] if schema else []),
+    )
+    if scan_output:
+        whole = whole.withColumn("spans", redaction.spans(F.coalesce("answer", F.lit(""))))
+    results = guard.output_results(
+        F.col("refused"), F.col("cited"), F.col("context_ids"), F.col("claimed"), F.col("valid"), F.col("context_ids"), judge(F.col("answer"), F.col("context_ids")) if judge else None,
+        candidate=(F.col("candidate"), *schema) if schema else None, found=(F.col("answer"), F.col("spans")) if scan_output else None, judged=judge is not None,
     )
-    verdict = guard.citation(F.lit(True), F.col("refused"), F.col("cited"), F.col("context_ids"), F.col("claimed"), F.col("valid"))
-    out = whole.withColumn("blocked", verdict["action"] == "block")
+    whole = whole.withColumn("results", results)
+    out = whole.withColumn("blocked", guard.blocked(F.col("results"))).withColumn("answer", guard.last_redaction(F.col("answer"), F.col("results")))
 
     def unless(c: str) -> Column:
         return F.when(F.col("blocked"), none).otherwise(F.col(c)).alias(c)
 
     miss = F.lit(None).cast("string").alias("cache")
-    done = out.select("query_id", guard.scrubbed(F.coalesce("answer", F.lit(guard.REFUSAL)), F.col("blocked")).alias("answer"), (F.col("refused") | F.col("blocked")).alias("refused"), "blocked", unless("cited"), unless("context_ids"), unless("doc_ids"), "suspected", miss)
+    if tier_hits is None:
+        out = out.withColumn("tier", miss)
+    else:
+        out = out.join(tier_hits.withColumn("tier", F.lit("retrieval_hit")), "query_id", "left")
+    done = out.select("query_id", guard.scrubbed(F.coalesce("answer", F.lit(guard.REFUSAL)), F.col("blocked")).alias("answer"), (F.col("refused") | F.col("blocked")).alias("refused"), "blocked", unless("cited"), unless("context_ids"), unless("doc_ids"), "suspected", F.col("tier").alias("cache"))
     stopped = judged.where("blocked").select("query_id", F.lit(guard.REFUSAL).alias("answer"), F.lit(True).alias("refused"), F.lit(True).alias("blocked"), *[none.alias(c) for c in ("cited", "context_ids", "doc_ids", "suspected")], miss)
     done = done.unionByName(stopped)
     if cached is not None:
         no = F.lit(False)
         done = done.unionByName(cached.select("query_id", "a.answer", no.alias("refused"), no.alias("blocked"), "a.cited", "a.context_ids", "a.doc_ids", none.alias("suspected"), F.lit("answer_hit").alias("cache")))
-    return done
+    return done, entries
 
 
 def cache_entries(done: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
     """Answer-tier entries of fresh answers that were neither refused nor blocked; ``queries`` as they were searched by."""
-    clean = done.where("not refused and not blocked and cache is null")
+    clean = done.where("not refused and not blocked and (cache is null or cache = 'retrieval_hit')")
     keyed = queries.join(question_vectors(queries), "query_id")
     return cache.entries(keyed.join(clean, "query_id").withColumn("payload", F.to_json(F.struct("answer", "cited", "context_ids", "doc_ids"))), now)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeseek.operators import bm25, chunking, incremental, observe, registry
 from lakeseek.plans import answer, experiment
-from lakeseek.plans.catalog import CHUNKS, DOCS, HASHED, POSTED, REDACTED, SPANS_SQL, SPARSE, TOKENS, WORDS, query
+from lakeseek.plans.catalog import CHUNKS, DOCS, HASHED, ORACLES, POSTED, REDACTED, SPANS_SQL, SPARSE, TOKENS, WORDS, query
 from lakeseek.sources import corpora, tables
 from lakeseek.sources.staging import staged
 
@@ -148,3 +148,22 @@ def experiment_scores(spark, sf):
     golden = asked.join(gold, "query_id", "left").select(*[c for c in asked.columns if c != "query_id"], F.col("query_id").alias("item_id"), F.col("question").alias("expected_output"), F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"))
     scores = experiment.run(golden, tables.document_chunks(spark, sf), "all")
     return scores.groupBy("run", "metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("answer_tiers", f"WITH {DOCS}, asked AS (SELECT item_id AS query_id, text FROM benchmark WHERE text IS NOT NULL) SELECT query_id, CASE WHEN len({TOKENS.format('text')}) > 0 THEN 'retrieval_hit' END AS cache FROM asked")
+def answer_tiers(spark, sf):
+    """All questions are answered with an empty retrieval tier, which fills; asked again they skip the search."""
+    asked, chunks, now = tables.questions(spark, sf), tables.document_chunks(spark, sf), F.expr(NOW)
+    none = answer.cache_entries(answer.answers(asked.limit(0), chunks), asked, now).limit(0)
+    made = staged(answer.answered(asked, chunks, retrieval_tier=staged(none), now=now)[1])
+    return answer.answers(asked, chunks, retrieval_tier=made, now=now).select("query_id", "cache")
+
+
+_WRITTEN = ORACLES["answer_e2e"][: ORACLES["answer_e2e"].rindex("SELECT query_id, sha256(")]
+
+
+@query("answer_guarded", _WRITTEN + "SELECT query_id, answer IS NOT NULL AND length(answer) % 2 = 0 AS blocked, answer IS NULL OR length(answer) % 2 = 0 AS refused FROM asked LEFT JOIN written USING (query_id)")
+def answer_guarded(spark, sf):
+    """The question path with a judge: answers of an even length are found unfaithful, and those of a length that ends in 5 have no verdict in time."""
+    judge = lambda text, ids: F.when(F.length(text) % 2 == 0, 0.1).when(F.length(text) % 10 != 5, 0.9)
+    return answer.answers(tables.questions(spark, sf), tables.document_chunks(spark, sf), judge=judge).select("query_id", "blocked", "refused")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeseek.functions import ranks
-from lakeseek.operators import guard, incremental, redaction, registry, rewrite
+from lakeseek.operators import bm25, guard, incremental, redaction, registry, rewrite
 from lakeseek.plans import answer, experiment
 from lakeseek.sources import corpora
 from lakeseek.streaming import ingest
@@ -116,8 +116,8 @@ def test_cache_tiers_rewriting_and_suspicion(spark):
     assert late[1].cache is None
     none = entries.limit(0)
     vectors = searched.where("query_id = 1").join(answer.question_vectors(searched), "query_id")
-    rows, made = answer.retrieved(vectors, chunks, none, now)
-    known, more = answer.retrieved(vectors, chunks, made, now)
+    rows, made, _ = answer.retrieved(vectors, chunks, none, now)
+    known, more, _ = answer.retrieved(vectors, chunks, made, now)
     assert sorted((r.chunk_id, r["rank"]) for r in rows.collect()) == sorted((r.chunk_id, r["rank"]) for r in known.collect()) and more.count() == 0
 
 
@@ -199,3 +199,47 @@ def test_papers_by_raw_lines(spark, tmp_path):
         corpora.generated_golden(spark.range(1))
     shares = {r.tenant_id: r["count"] for r in corpora.assigned_tenants(spark.range(4000).withColumnRenamed("id", "doc_id")).groupBy("tenant_id").count().collect()}
     assert 3500 < shares["public"] < 3700 and 120 < shares["tenant_a"] < 290 and 120 < shares["tenant_b"] < 290
+
+
+def test_output_guards_tiers_and_embedder(spark):
+    chunks = spark.createDataFrame([("d", "d::0", "call 555-867-5309 for revenue. More", "a", [], None, "t", "s", 0), ("e", "e::0", "costs fell", "a", [], None, "t", "s", 1)], CHUNK_ROWS)
+    q = spark.createDataFrame([(1, "revenue", "a", [], None), (2, "costs", "a", [], None), (3, "nothing here", "zzz", [], None)], ASKED)
+    plain = {r.query_id: r for r in answer.answers(q, chunks).collect()}
+    assert "555-867-5309" in plain[1].answer
+    clean = {r.query_id: r for r in answer.answers(q, chunks, scan_output=True).collect()}
+    assert clean[1].answer == "call [PHONE] for revenue [1]" and not clean[1].blocked and clean[1].cited == ["d::0"] and clean[2].answer == plain[2].answer
+    judged = {r.query_id: r for r in answer.answers(q, chunks, judge=lambda a, c: F.when(a.startswith("costs"), 0.2)).collect()}
+    assert judged[2].blocked and judged[2].answer == guard.REFUSAL and judged[2].context_ids == [] and not judged[1].blocked and judged[3].refused and not judged[3].blocked
+
+    def wrote(passages):
+        first = answer.extractive(passages)
+        return first.withColumn("candidate", F.when(F.col("query_id") == 1, F.to_json(F.struct("answer"))).otherwise(F.lit('{"wrong": 1}')))
+
+    shaped = {r.query_id: r for r in answer.answers(q, chunks, generate=wrote, schema=("answer string", ["answer"])).collect()}
+    assert not shaped[1].blocked and shaped[2].blocked and shaped[3].refused and not shaped[3].blocked
+    # the retrieval tier fills, and answers the same questions with the same passages
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    none = answer.cache_entries(answer.answers(q, chunks), q, now).limit(0)
+    first, made = answer.answered(q, chunks, retrieval_tier=none, now=now)
+    assert {r.cache for r in first.collect()} == {None} and made.count() == 2
+    second = {r.query_id: r for r in answer.answers(q, chunks, retrieval_tier=made, now=now).collect()}
+    assert {k: r.cache for k, r in second.items()} == {1: "retrieval_hit", 2: "retrieval_hit", 3: None}
+    assert all(second[k].answer == plain[k].answer and second[k].cited == plain[k].cited for k in plain)
+    # an embedder of one's own ranks the dense list
+    lengths = lambda rows, keys, text, name: rows.select(*keys, F.array(F.lit(1.0), F.length(text).cast("double")).alias(name))
+    got = answer.dense_ranking(q, bm25.build(chunks), embed=lengths, chunks=chunks).where("query_id = 2 and rank = 1").first()
+    assert got.chunk_id == "e::0"
+    held = chunks.withColumn("embedding", F.when(F.col("doc_id") == "d", F.array(F.lit(1.0), F.lit(5.0))).otherwise(F.array(F.lit(5.0), F.lit(-1.0))))
+    assert answer.dense_ranking(q, bm25.build(chunks), embed=lengths, chunks=held).where("query_id = 2 and rank = 1").first().chunk_id == "d::0"
+
+
+def test_ingestion_leaves_audit_rows(spark):
+    at = "timestamp'2024-01-01'"
+    known = registry.empty(spark).unionByName(spark.sql(f"SELECT '1' AS document_id, 't' AS tenant_id, 'f' AS filename, 'text/plain' AS content_type, 1L AS size_bytes, 'processing' AS status, '1' AS blob_key, '' AS collection_id, '' AS error, 0 AS chunk_count, {at} AS created_at, {at} AS updated_at"))
+    files = spark.createDataFrame([("1", bytearray(b"mail ann@example.com now"))], "document_id string, content binary")
+    manifest = spark.createDataFrame([], "tenant_id string, doc_id string, chunk_id string, ordinal int, embed_hash string, meta_hash string")
+    one = registry.ingest(known, files, manifest, F.expr(at))["audit"].collect()
+    assert [(r.doc_id, r.chunk_id, r.start, r.end, r.value_hash) for r in one] == [("1", "doc_redaction", 5, 20, None)]
+    kept = registry.ingest(known, files, manifest, F.expr(at), "keep", "salt")
+    two = kept["audit"].collect()
+    assert [(r.chunk_id, r.start) for r in two] == [("1::000000", 5)] and len(two[0].value_hash) == 16 and "pii_spans" not in kept["chunks"].columns

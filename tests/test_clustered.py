@@ -22,8 +22,10 @@ def test_recall_and_cells_opened_on_the_table(spark, tmp_path):
     assert share >= 0.9, share  # these vectors have hardly any clusters, so three of four cells are needed
     assert index.rows().count() == vecs.count()
     probed = clustered.looked_into(asked.limit(1), index, 2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # else the plan's text cuts its filters short
     scan = clustered._rows_of(index, probed)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in scan and "cell#" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     met = clustered._rows_of(index, probed)
     assert met.select("tenant_key", "cell").distinct().count() <= 2 and met.select("tenant_id").distinct().count() == 1
 

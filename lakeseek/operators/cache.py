@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.functions import vector
 from lakeseek.operators import dense
+from lakeseek.sources.staging import staged
 
 THRESHOLD, TTL_SECONDS, NO_COLLECTION = 0.9, 3600, "__none__"
+#: Signed projections per bucket key, the share of pairs at the threshold that must meet, and the seed of the hyperplanes.
+BITS, RECALL, PLANES_SEED, MOST_TABLES = 12, 0.995, 17, 64
+PARTITION = ["tenant_id", "collection_id", "tags"]
 
 
 def collection_key(collection: Column) -> Column:
@@ -46,6 +54,76 @@ def lookup(queries: DataFrame, entries: DataFrame, now: Column, threshold: float
     return best.select("query_id", (-F.col("b.order")).alias("entry_id"), F.col("b.similarity").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def tables_for(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
+    """How many tables let a pair of just this cosine meet with the probability ``recall``, keys with one flipped bit looked into as well."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    meets = same**bits + bits * same ** (bits - 1) * (1 - same)
+    n = 1 if meets >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    if n > MOST_TABLES:
+        raise ValueError(f"a threshold of {threshold} is too low for buckets ({n} tables): use lookup")
+    return n
+
+
+def hyperplane_keys(vectors: Column, tables: int, bits: int = BITS, seed: int = PLANES_SEED) -> Column:
+    """One bucket key per table: the signs of ``bits`` random projections. The planes follow from seed and dimension, so nothing is sent; null for a vector of null."""
+
+    @F.pandas_udf("array<int>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = {}
+        for part in parts:
+            out = [None] * len(part)
+            sizes = part.map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for size in set(sizes.tolist()) - {-1}:
+                if size not in planes:
+                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * bits))
+                places = np.flatnonzero(sizes == size)
+                signs = (np.stack(part.iloc[places].to_list()).reshape(len(places), size) @ planes[size] >= 0).reshape(len(places), tables, bits)
+                for place, row in zip(places, signs @ (1 << np.arange(bits)), strict=True):
+                    out[place] = row.astype(np.int32)
+            yield pd.Series(out)
+
+    return keys(vectors)
+
+
+def _told(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Partition key, vector and members: one row per distinct vector of a partition, so that no group of copies meets another."""
+    keyed = rows.select(id_col, "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags"), F.col(vector_col).alias("v"))
+    return keyed.where("v is not null and tenant_id is not null")
+
+
+def candidates(queries: DataFrame, entries: DataFrame, tables: int, bits: int = BITS) -> DataFrame:
+    """q, e: distinct pairs of query and entry rows (q / e, partition, v) that share a bucket of one of the tables, or differ there in one bit.
+
+    Entries are stored under one key per table; the questions, the few, look into ``bits`` + 1 buckets each. An equi-join on
+    partition, table and key; no side is broadcast by hint.
+    """
+    flips = F.array(*[F.lit(m) for m in (0, *[1 << b for b in range(bits)])])
+    at = ["*", F.posexplode_outer(hyperplane_keys(F.col("v"), tables, bits)).alias("t", "key")]
+    e = entries.select(*at).select("e", *PARTITION, "t", "key")
+    q = queries.select(*at).select("q", *PARTITION, "t", "key").withColumn("key", F.explode_outer(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))))
+    return q.join(e, [*PARTITION, "t", "key"]).select("q", "e").distinct()
+
+
+def lookup_near(queries: DataFrame, entries: DataFrame, now: Column, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """What ``lookup`` gives, for high thresholds, without comparing every question with every entry.
+
+    Signed random projections are the keys of an equi-join; what meets is verified by the exact cosine, so no hit is
+    wrong. A pair at the threshold is missed with a probability of at most 1 - ``recall``, a nearer one with less, and an equal vector never.
+    Of entries with one vector the least id stands for all (it would win), of questions with one vector
+    the work is done once and joined back.
+    """
+    tables = tables_for(threshold, recall)
+    same = [*PARTITION, "v"]
+    e = staged(_told(live(entries, now), "entry_id", "vector").groupBy(*same).agg(F.min("entry_id").alias("e")).withColumn("norm", vector.norm(F.col("v"))))
+    members = staged(_told(queries, "query_id", "query_vector"))
+    q = staged(members.groupBy(*same).agg(F.min("query_id").alias("q")).withColumn("query_norm", vector.norm(F.col("v"))))
+    pairs = candidates(q, e, tables).join(q.select("q", F.col("v").alias("qv"), "query_norm"), "q").join(e.select("e", F.col("v").alias("ev"), "norm"), "e")
+    scored = pairs.select("q", "e", F.round(vector.cosine(F.col("qv"), F.col("ev"), F.col("query_norm"), F.col("norm")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("q").agg(F.max(F.struct("similarity", (-F.col("e")).alias("order"))).alias("b"))
+    every = members.join(q.select("q", *same), same).select("query_id", "q")
+    return every.join(best, "q").select("query_id", (-F.col("b.order")).alias("entry_id"), F.col("b.similarity").alias("similarity"))
+
+
 def asked(queries: DataFrame) -> DataFrame:
     """Questions (caller_tags, query_collection) in the columns of ``lookup``; those without a vector hit nothing."""
     return queries.where("query_vector is not null").select("query_id", "tenant_id", F.col("query_collection").alias("collection_id"), F.col("caller_tags").alias("tags"), "query_vector")

@@ -82,7 +82,7 @@ def suspected(ranked: DataFrame, fold=guard.folded) -> DataFrame:
     return found.select("query_id", F.explode("labels").alias("label")).groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("suspected"))
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None, embed=None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None, embed=None, lookup=cache.lookup) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Reranked rows of the questions (question holds the text to search by), new entries of the retrieval tier, and the questions that it answered.
 
     queries: with query_vector where there is a tier. Questions that the tier answers skip retrieval; their
@@ -90,7 +90,7 @@ def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now
     """
     if tier is None:
         return hybrid(queries.drop("query_vector"), chunks, embed=embed), None, None
-    hits = staged(cache.lookup(cache.asked(queries), tier, now).join(tier.select("entry_id", "payload"), "entry_id").select("query_id", F.from_json("payload", RANKED).alias("ranked")))
+    hits = staged(lookup(cache.asked(queries), tier, now).join(tier.select("entry_id", "payload"), "entry_id").select("query_id", F.from_json("payload", RANKED).alias("ranked")))
     known = hits.select("query_id", F.explode("ranked").alias("r")).select("query_id", "r.*").join(queries.select("query_id", "tenant_id", "question"), "query_id").join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
     rest = queries.join(hits.select("query_id"), "query_id", "left_anti")
     fresh = staged(hybrid(rest.drop("query_vector"), chunks, embed=embed).drop("component_scores"))
@@ -108,11 +108,13 @@ def answers(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
 def answered(
     queries: DataFrame, chunks: DataFrame, budget: int = context.BUDGET, fold=guard.folded, generate=extractive, synonyms: DataFrame | None = None, expand=None,
     answer_tier: DataFrame | None = None, retrieval_tier: DataFrame | None = None, now: Column | None = None, embed=None, scan_output: bool = False, judge=None, schema: tuple[str, list[str]] | None = None,
+    lookup=cache.lookup,
 ) -> tuple[DataFrame, DataFrame | None]:
     """query_id, answer, refused, blocked, cited and context chunk_ids, doc_ids, suspected, cache of every question, and new entries of the retrieval tier.
 
     The rewritten text feeds retrieval and the cache key alone; generation keeps the question. A hit of the
     answer tier returns at once, one of the retrieval tier skips the search. ``cache_entries`` makes new entries of the answers.
+    ``lookup`` may be ``cache.lookup_near`` where a tier is large.
 
     Output guards, in order: citations; the schema (DDL and required fields) of the generator's column candidate; personal data in
     the answer where ``scan_output`` is set, which is redacted; groundedness where there is a ``judge``, a column function of
@@ -127,10 +129,10 @@ def answered(
         searched = searched.join(question_vectors(searched), "query_id", "left")
     cached = None
     if answer_tier is not None:
-        found = cache.lookup(cache.asked(searched), answer_tier, now).join(answer_tier.select("entry_id", "payload"), "entry_id")
+        found = lookup(cache.asked(searched), answer_tier, now).join(answer_tier.select("entry_id", "payload"), "entry_id")
         cached = staged(found.select("query_id", F.from_json("payload", ANSWER).alias("a")))
         searched = searched.join(cached.select("query_id"), "query_id", "left_anti")
-    found_rows, entries, tier_hits = retrieved(searched, chunks, retrieval_tier, now, embed)
+    found_rows, entries, tier_hits = retrieved(searched, chunks, retrieval_tier, now, embed, lookup)
     ranked = staged(found_rows.drop("component_scores"))
     packed = context.pack(ranked.drop("question").join(open_queries.select("query_id", "question"), "query_id"), budget)
     written = generate(packed).withColumn("markers", context.markers(F.col("answer"), F.col("claimed")))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.operators import clustered, inverted, registry
-from lakeseek.plans.catalog import DOCS, ORACLES, POSTED, SPARSE, query
+from lakeseek.operators import cache, clustered, inverted, manifests, registry
+from lakeseek.plans.catalog import DOCS, ENTRIES, ORACLES, POSTED, SPARSE, _entries, _versions, query
 from lakeseek.sources import snapshots, tables
 from lakeseek.sources.staging import shared_folder
 
@@ -73,3 +73,23 @@ def patched_rights(spark: SparkSession, sf: str) -> DataFrame:
 
     done = registry.patched_chunks(index, by("board", 1).unionByName(by("intern", 2)))
     return done.where("doc_id % 2 = 1").select("chunk_id", "tenant_id", "title")
+
+
+@query("manifest_tree", ORACLES["incremental_diff"])
+def manifest_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The diff of two manifests by digest trees: the first is committed, the second held against it."""
+    old, new, _ = _versions(spark, sf)
+    log = snapshots.Log(spark, _folder(spark))
+    manifests.commit(manifests.compared(log, old), "first")
+    return manifests.diff(manifests.compared(log, new))
+
+
+@query("cache_near", f"""WITH {ENTRIES}, q AS (SELECT *, list_transform(v, lambda x, i: x * (1 + 0.5 * ((entry_id + i) % 3 - 1))) AS w FROM e),
+near AS (SELECT q.entry_id AS query_id, e.entry_id, round(list_cosine_similarity(q.w, e.v), 9) AS s FROM q JOIN e ON q.t = e.t AND q.c = e.c AND q.b = e.b WHERE e.entry_id > 100)
+SELECT query_id, entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry_id) AS n FROM near) WHERE n = 1 AND s >= 0.9""")
+def cache_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector, bent by up to a half per number, looked up among all live entries by hyperplane buckets at the threshold of 0.9."""
+    entries = _entries(spark, sf)
+    bent = F.transform("vector", lambda x, i: x * (1 + 0.5 * ((F.col("entry_id") + i + 1) % 3 - 1)))
+    queries = entries.select(F.col("entry_id").alias("query_id"), "tenant_id", "collection_id", "tags", bent.alias("query_vector"))
+    return cache.lookup_near(queries, entries, F.lit("2024-01-01 00:01:40").cast("timestamp")).withColumn("similarity", F.round("similarity", 6))

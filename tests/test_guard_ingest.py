@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeseek.functions import ranks
-from lakeseek.operators import bm25, guard, incremental, redaction, registry, rewrite
+from lakeseek.operators import bm25, cache, guard, incremental, redaction, registry, rewrite
 from lakeseek.plans import answer, experiment
 from lakeseek.sources import corpora
 from lakeseek.streaming import ingest
@@ -112,6 +112,8 @@ def test_cache_tiers_rewriting_and_suspicion(spark):
     assert entries.count() == 1
     again = {r.query_id: r for r in answer.answers(q, chunks, synonyms=rules, answer_tier=entries, now=now).collect()}
     assert again[1].cache == "answer_hit" and again[1].answer == got[1].answer and again[2].blocked and again[2].cache is None
+    near = {r.query_id: r for r in answer.answers(q, chunks, synonyms=rules, answer_tier=entries, now=now, lookup=cache.lookup_near).collect()}
+    assert near[1].cache == "answer_hit" and near[1].answer == got[1].answer and near[2].cache is None
     late = {r.query_id: r for r in answer.answers(q, chunks, synonyms=rules, answer_tier=entries, now=F.lit("2024-01-01 02:00:00").cast("timestamp")).collect()}
     assert late[1].cache is None
     none = entries.limit(0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeseek.functions.ranks import numbered
 from lakeseek.operators import cache, chunking, incremental, redaction
 from lakeseek.operators.acl import allowed
-from lakeseek.sources import corpora, html
+from lakeseek.sources import files as uploads
 from lakeseek.sources.staging import staged
 
 SCHEMA = (
@@ -134,11 +134,7 @@ def delete_blobs(spark: SparkSession, path: str, keys: DataFrame) -> None:
 
 def parsed(files: DataFrame) -> DataFrame:
     """Files (document_id, content_type, content) with text, or error: the name of what is wrong."""
-    told = corpora.plain_text(corpora.accepted(files))
-    text = F.when(F.col("content_type") == "text/html", html.html_to_text(F.when(F.col("content_type") == "text/html", F.col("text")))).otherwise(F.col("text"))
-    out = told.withColumn("text", text)
-    empty_text = F.col("text").isNull() | (F.trim("text") == "")
-    return out.withColumn("error", F.when(F.col("content").isNull(), "KeyError").when(F.col("reason").isNotNull(), "UnsupportedTypeError").when(empty_text, "ParserError")).drop("reason")
+    return uploads.parsed(files).drop("detail")
 
 
 def ingest(registry: DataFrame, files: DataFrame, manifest: DataFrame, now: Column, mode: str = "redact", salt: str | None = None) -> dict[str, DataFrame]:

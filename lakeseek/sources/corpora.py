@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeseek.functions.ranks import numbered
+from lakeseek.sources import docx
 
 MAX_BYTES = 25 * 1024 * 1024
-TEXT_TYPES = ("text/plain", "text/markdown", "text/html")
+TEXT_TYPES = ("text/plain", "text/markdown", "text/html", docx.CONTENT_TYPE)
 
 
 def titled_paragraphs(rows: DataFrame, limit: int | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def accepted(files: DataFrame) -> DataFrame:
     """binaryFile rows with content_type: ``reason`` is null for those to parse, else why not."""
     return files.withColumn(
         "reason",
-        F.when(~F.col("content_type").isin(*TEXT_TYPES), "unsupported type").when(F.octet_length("content") > MAX_BYTES, "too large"),
+        F.when(~F.coalesce(F.col("content_type").isin(*TEXT_TYPES), F.lit(False)), "unsupported type").when(F.octet_length("content") > MAX_BYTES, "too large"),
     )
 
 

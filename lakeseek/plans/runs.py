@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeseek.operators import bm25, chunking, incremental, observe, registry
 from lakeseek.plans import answer, experiment
 from lakeseek.plans.catalog import CHUNKS, DOCS, HASHED, ORACLES, POSTED, REDACTED, SPANS_SQL, SPARSE, TOKENS, WORDS, query
-from lakeseek.sources import corpora, tables
+from lakeseek.sources import corpora, docx, files, tables
 from lakeseek.sources.staging import staged
 
 NOW = "timestamp'2024-06-01 00:00:00'"
@@ -167,3 +167,21 @@ def answer_guarded(spark, sf):
     """The question path with a judge: answers of an even length are found unfaithful, and those of a length that ends in 5 have no verdict in time."""
     judge = lambda text, ids: F.when(F.length(text) % 2 == 0, 0.1).when(F.length(text) % 10 != 5, 0.9)
     return answer.answers(tables.questions(spark, sf), tables.document_chunks(spark, sf), judge=judge).select("query_id", "blocked", "refused")
+
+
+_COLLAPSED = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10))"
+
+
+@query("uploaded_files", f"""WITH given AS (SELECT doc_id, doc_id % 3 AS kind, text, CASE WHEN doc_id % 3 = 0 THEN text ELSE {_COLLAPSED} END AS shown FROM documents),
+told AS (SELECT *, CASE WHEN text IS NULL THEN 'KeyError' WHEN trim(shown) = '' THEN 'ParserError' END AS error FROM given)
+SELECT doc_id, ['txt', 'html', 'docx'][kind + 1] AS ending, error, CASE WHEN error IS NULL THEN sha256(shown) END AS text_sha256 FROM told""")
+def uploaded_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an upload: plain text, HTML or DOCX in turn, and back to text."""
+    kind = F.col("doc_id") % 3
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
+    page = F.concat(F.lit("<html><head><title>t</title></head><body><p>"), escaped, F.lit("</p></body></html>"))
+    content = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode(page, "UTF-8")).otherwise(docx.text_to_docx(F.when(kind == 2, F.col("text"))))
+    ending = F.when(kind == 0, "txt").when(kind == 1, "html").otherwise("docx")
+    uploads = tables.read(spark, sf, "documents").select("doc_id", ending.alias("ending"), content.alias("content"))
+    read = files.parsed(uploads.withColumn("content_type", files.type_of(F.concat(F.lit("x."), "ending"))))
+    return read.select("doc_id", "ending", "error", F.sha2("text", 256).alias("text_sha256"))

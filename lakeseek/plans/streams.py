@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.plans.catalog import query
-from lakeseek.sources import tables
+from lakeseek.plans.catalog import ORACLES, query
+from lakeseek.sources import snapshots, tables
 from lakeseek.sources.staging import shared_folder
-from lakeseek.streaming import ingest, lifecycle
+from lakeseek.streaming import ingest, lifecycle, questions
 
 DELAY, LIMIT_HOURS = "1 hour", 12
 WANTED = "CASE WHEN event_id % 7 = 0 THEN 'gone' WHEN event_type = 'click' THEN 'ready' WHEN event_type = 'purchase' THEN 'deleting' WHEN event_type = 'error' THEN 'failed' ELSE 'processing' END"
@@ -40,3 +40,15 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     )
     moves = lifecycle.run(events, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", DELAY, LIMIT_HOURS * 3600 * 1000)
     return moves.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("stream_questions", ORACLES["bm25_topk"])
+def stream_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's questions as a stream over a stored index; a later version of the index changes nothing."""
+    home = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    log, chunks = snapshots.Log(spark, f"{home}/index"), tables.document_chunks(spark, sf)
+    first = questions.stored(log, "all", chunks)
+    questions.stored(log, "fewer", chunks.where("doc_id % 2 = 0"))
+    asked = ingest.file_stream(spark, sf, "benchmark.parquet", tables.read(spark, sf, "benchmark").schema, per_trigger=4)
+    told = questions.run(tables.as_questions(asked), log, f"{home}/out", first["version"])
+    return told.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

@@ -52,7 +52,11 @@ def vector_queries(vecs: DataFrame) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items as questions of an untagged public caller."""
-    return read(spark, sf_dir, "benchmark").where("text is not null").select(
+    return as_questions(read(spark, sf_dir, "benchmark"))
+
+
+def as_questions(items: DataFrame) -> DataFrame:
+    return items.where("text is not null").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("public").alias("tenant_id"),
         F.array().cast(TAGS).alias("caller_tags"), F.lit(None).cast("string").alias("query_collection"),
     )

@@ -144,7 +144,9 @@ def replies(
     mark = "_key"
     while mark in rows.columns:
         mark += "_"
-    met = rows.withColumn(mark, key).join(last.withColumnRenamed("key", mark), mark, "left")
+    # rows without a request match nothing: any key will do, and one for all would send them to one task
+    spread = F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(997)).cast("string"))
+    met = rows.withColumn(mark, F.coalesce(key, spread)).join(last.withColumnRenamed("key", mark), mark, "left")
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_last.reply").alias(out), F.col("_last.error").alias(f"{out}_error"))
 
 

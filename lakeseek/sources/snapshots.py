@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,9 +90,12 @@ class Log:
         return told
 
 
-def save(log: Log, run: str, tables: dict[str, DataFrame]) -> dict:
+def save(log: Log, run: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]) -> dict:
     """Commit ``tables`` (name, rows) together as a new version; tables that aren't named stay as they are.
 
+    Rows may be a function of the tables that stand before them, as this run has written them: what is made from a table
+    reads it back instead of making it again.
+
     All of them are written before the version appears, so no reader ever meets a new registry with an old manifest.
     """
     done = log.run(run)
@@ -99,9 +103,12 @@ def save(log: Log, run: str, tables: dict[str, DataFrame]) -> dict:
         return done
     base = log.state()
     held = dict(base.get("tables", {}))
-    for name, rows in tables.items():
+    written: dict[str, DataFrame] = {}
+    for name, given in tables.items():
         place = f"data/{name}-{uuid.uuid4().hex}"
+        rows = given(written) if callable(given) else given
         rows.write.parquet(f"{log.path}/{place}")
+        written[name] = log.spark.read.schema(rows.schema).parquet(f"{log.path}/{place}")
         held[name] = {"place": place, "schema": rows.schema.json()}
     return log.commit(base["version"], run, {k: v for k, v in base.items() if k not in ("version", "run")} | {"tables": held})
 

@@ -22,11 +22,12 @@ RESULT = "query_id {0}, tenant_id string, chunk_id string, score double, rank in
 
 def stored(log: Log, run: str, chunks: DataFrame) -> dict:
     """A BM25 index of the chunks as a new version: counted terms, weights and lengths together. The same run again does nothing."""
-    done = log.run(run)
-    if done is not None:
-        return done
-    index = bm25.build(chunks)
-    return save(log, run, {"listed": index.listed, "weights": index.weights, "lengths": index.lengths})
+
+    def weights(written: dict[str, DataFrame]) -> DataFrame:
+        return bm25.inverse_frequency(bm25.document_frequency(bm25.unfolded(written["listed"])), written["lengths"])
+
+    lengths = lambda written: bm25.lengths_of(written["listed"])
+    return save(log, run, {"listed": bm25.listed(chunks), "lengths": lengths, "weights": weights})
 
 
 def opened(log: Log, version: int) -> bm25.Index:

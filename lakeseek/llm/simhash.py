@@ -95,6 +95,21 @@ def shingle_digests(words: list[bytes], width: int) -> list[int]:
     return [digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())]
 
 
+def _count_bits(counts: np.ndarray, row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> None:
+    """Adds the bits of the hashes to the 64 counts of their texts; ``sizes`` are the lengths of the runs of a text."""
+    # runs of at most 255 shingles of one text, so that eight 8-bit counters fit a word
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.flatnonzero(place % 255 == 0)
+    for bit in range(8):
+        sums = np.add.reduceat((h >> np.uint64(bit)) & _ONES, first)
+        np.add.at(counts, (row[first][:, None], np.arange(8)[None, :] * 8 + bit), sums.view(np.uint8).reshape(-1, 8))
+
+
+def _majority(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    bits = (2 * counts > total[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def simhash(texts: list, width: int = WIDTH) -> np.ndarray:
     """64-bit fingerprints of the texts."""
     rows, sizes, digests = [], [], []
@@ -105,12 +120,7 @@ def simhash(texts: list, width: int = WIDTH) -> np.ndarray:
             return
         h = np.array(digests, np.uint64)
         row = np.repeat(np.array(rows), np.array(sizes))
-        # runs of at most 255 shingles of one text, so that eight 8-bit counters fit a word
-        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        first = np.flatnonzero(place % 255 == 0)
-        for bit in range(8):
-            sums = np.add.reduceat((h >> np.uint64(bit)) & _ONES, first)
-            np.add.at(counts, (row[first][:, None], np.arange(8)[None, :] * 8 + bit), sums.view(np.uint8).reshape(-1, 8))
+        _count_bits(counts, row, h, np.array(sizes))
         total[:] += np.bincount(row, minlength=len(texts))
         rows.clear(), sizes.clear(), digests.clear()
 
@@ -122,8 +132,15 @@ def simhash(texts: list, width: int = WIDTH) -> np.ndarray:
             if len(digests) > 200_000:
                 flush()
     flush()
-    bits = (2 * counts > total[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return _majority(counts, total)
+
+
+def simhash_of(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit fingerprints of ``n`` texts whose shingles have the hashes ``h``, by ascending text ``row``."""
+    counts, total = np.zeros((n, 64), np.int64), np.bincount(row, minlength=n)
+    if len(h):
+        _count_bits(counts, row, h, total[total > 0])
+    return _majority(counts, total)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -381,6 +398,7 @@ def _verified(batches):
         first = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]))
         size = np.diff(np.append(first, len(grp)))
         twos = first[size == 2]
+        twos = twos[label[twos] != label[twos + 1]]
         twos = twos[_alike(sig[twos], sig[twos + 1])]
         us, vs = [twos], [twos + 1]
         for lo, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
@@ -389,26 +407,54 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (us, vs)], ["u", "v"])
 
 
+def _alike_pairs(batches):
+    """The pairs (u, v) whose signatures a and b are alike."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.uint64) for k in ("a", "b"))
+        yield batch.select(["u", "v"]).filter(pa.array(_alike(a, b), pa.bool_()))
+
+
+def close_and_alike(found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (u, v) between nodes of ``found`` (node, fp) whose SimHash fingerprints link and whose ``sigs`` (node, sig) are alike.
+
+    One node stands for each fingerprint; the other nodes of the fingerprint are held against it, and it against
+    those of linked fingerprints. What the check refuses is left to the shingles.
+    """
+    nodes = checkpointed(found.where(F.length("sig") > 0).select("node", "fp").distinct())
+    first = nodes.groupBy("fp").agg(F.min("node").alias("v"))
+    same = nodes.join(first, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    linked = close_edges(nodes.select("fp").distinct()).distinct()
+    linked = linked.join(first.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(first.select(F.col("fp").alias("v"), F.col("v").alias("y")), "v")
+    pairs = checkpointed(same.unionByName(linked.select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct())
+    signed = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
+    return checkpointed(signed.select("u", "v", "a", "b").mapInArrow(_alike_pairs, "u long, v long"))
+
+
 def alike_edges(found: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the alike nodes of ``found`` (node, sig, keys). Only verified pairs connect.
+    """Edges (u, v) that connect the alike nodes of ``found`` (node, fp, sig, keys). Only verified pairs connect.
 
+    Links of SimHash fingerprints come first; members of a shingle's group that they have connected are not compared again.
     A group of over NEAR_DENSE members is first compared in random parts. If that leaves it in several
     components, members outside its largest are compared with all, block by block.
     """
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = found.where(F.size("keys") > 0).select("node", "sig").distinct()
+    sigs = checkpointed(found.where(F.length("sig") > 0).select("node", "sig").distinct())
+    close = close_and_alike(found, sigs)
+    star = connected_components(close).select("node", F.col("component").alias("label"))
+    labelled = sigs.join(star, "node", "left").select("node", "sig", F.coalesce("label", "node").alias("label"))
     dealt = found.select("node", "keys").distinct().select(F.explode("keys").alias("key"), "node")
     met = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "grp long, n long, node long")
     met = checkpointed(met.distinct())
 
     def verified(rows: DataFrame) -> DataFrame:
-        return rows.join(sigs, "node").select("grp", "part", "node", "label", "sig").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", "node").mapInArrow(_verified, "u long, v long")
+        named = rows.join(sigs if "label" in rows.columns else labelled, "node")
+        return named.select("grp", "part", "node", "label", "sig").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", "node").mapInArrow(_verified, "u long, v long")
 
     def pieces(rows):
         return F.ceil(rows / F.lit(NEAR_DENSE)).cast("long")
 
     draw = F.xxhash64("grp", "node")
-    edges = checkpointed(verified(met.select("grp", F.pmod(draw, pieces(F.col("n"))).alias("part"), "node", F.col("node").alias("label"))).distinct())
+    edges = checkpointed(close.unionByName(verified(met.select("grp", F.pmod(draw, pieces(F.col("n"))).alias("part"), "node"))).distinct())
     dense = met.where(F.col("n") > NEAR_DENSE)
     if not dense.limit(1).count():
         return edges
@@ -443,17 +489,18 @@ def _near_components(docs: DataFrame) -> DataFrame:
             for lo, hi in chunks_by_bytes(texts):
                 row, h = shingle_hashes(texts[lo:hi], minhash.WIDTH)
                 sigs = [bytes.fromhex(x) for x in minhash.packed(*minhash.signatures(texts[lo:hi], (row, h)))]
+                fp = simhash_of(*shingle_hashes(texts[lo:hi], WIDTH), hi - lo).view(np.int64)
                 offsets, first = first_shingles(row, h, hi - lo, late)
                 node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sigs], np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.view(np.int64)))
                 own = [batch.column(k).slice(lo, hi - lo) for k in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(sigs, pa.binary()), lists], ["doc_id", "text_hash", "node", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(fp), pa.array(sigs, pa.binary()), lists], ["doc_id", "text_hash", "node", "fp", "sig", "keys"])
         pa.default_memory_pool().release_unused()
 
-    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("fp", T.LongType()), ("sig", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
     named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     found = checkpointed(named.mapInArrow(work, T.StructType([T.StructField(*k) for k in kinds])))
-    edges = alike_edges(found.select("node", "sig", "keys"))
+    edges = alike_edges(found.select("node", "fp", "sig", "keys"))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
     labelled = _labelled(found.select(row.alias("doc_id"), F.col("node").alias("fp")), edges)
     return labelled.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
@@ -467,8 +514,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id over links of five-word shingles with a likeness of 0.8 or more.
 
     The likeness is that of one-permutation MinHash signatures; rows of equal signatures are one node.
-    Texts meet under each of their first shingles (see LIKENESS), so that no pair of shingle sets of
-    that likeness is missed, and members of a group are connected by verified pairs alone.
+    SimHash links (RADIUS bits, by masks and pivot distances) connect near copies first, each checked by
+    likeness. Near copies may lie further apart, so texts also meet under each of their first shingles (see
+    LIKENESS): no pair of shingle sets of that likeness is missed, and members of a group that the SimHash
+    links have not connected are connected by verified pairs alone.
     """
     return _near_components(docs).select("row.doc_id", F.col("component.doc_id").alias("component_id"))
 

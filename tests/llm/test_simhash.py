@@ -196,3 +196,23 @@ def test_no_near_copy_is_missed(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(simhash, "NEAR_DENSE", 4096)
     assert near_pairs(spark, rows)[0] == got
+
+
+def test_near_copies_are_linked_by_simhash(spark, monkeypatch):
+    """Without meetings by shingles the stage still finds what is alike within 3 bits, and only that."""
+    rng = random.Random(24)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{rng.getrandbits(30):x}" for _ in range(400)]
+        rows.append((2 * g, " ".join(base)))
+        new = list(base)
+        new[rng.randrange(400)] = "x"
+        rows.append((2 * g + 1, " ".join(new)))
+    line = " ".join(f"w{rng.getrandbits(30):x}" for _ in range(15))  # equal fingerprints, unlike texts
+    rows += [(100 + i, f"{(line + ' ') * 300}" + " ".join(f"t{rng.getrandbits(40):x}" for _ in range(80))) for i in range(6)]
+    fps = simhash.simhash_of(*simhash.shingle_hashes([t for _, t in rows], simhash.WIDTH), len(rows))
+    close = {i for i, t in rows[1:80:2] if int(fps[i] ^ fps[i - 1]).bit_count() <= 3}
+    assert len(close) > 20 and len(set(fps[80:].tolist())) == 1
+    monkeypatch.setattr(simhash, "first_shingles", lambda row, h, n, late: (np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in got if got[i] != i} == close and all(got[i] == i - 1 for i in close)

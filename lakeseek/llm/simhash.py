@@ -440,7 +440,9 @@ def alike_edges(found: DataFrame) -> DataFrame:
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = checkpointed(found.where(F.length("sig") > 0).select("node", "sig").distinct())
     close = close_and_alike(found, sigs)
-    star = connected_components(close).select("node", F.col("component").alias("label"))
+    # the least node linked names a node: equal names are connected, and no rounds over all links are needed
+    both = close.unionByName(close.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    star = both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label"))
     labelled = sigs.join(star, "node", "left").select("node", "sig", F.coalesce("label", "node").alias("label"))
     dealt = found.select("node", "keys").distinct().select(F.explode("keys").alias("key"), "node")
     met = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "grp long, n long, node long")

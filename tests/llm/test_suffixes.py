@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from lakeseek.llm import suffixes as sx
+from lakeseek.llm.catalog import QUERIES
 
 
 def slow(texts):
@@ -101,3 +102,44 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     want = [(d.doc_id, *x) for d, x in zip(docs, slow([d.text for d in docs]))]
     assert sorted(tuple(r) for r in sx.query(spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_texts_and_spans_that_are_left(spark):
+    rng = random.Random(5)
+    common = words(rng, 120)  # over 50 words, over 400 bytes
+    rows = [(1, words(rng, 80) + common + words(rng, 80)), (2, words(rng, 60) + common), (3, words(rng, 300)), (4, "é" * 300), (4, "xé" + "é" * 300), (5, common * 2), (6, common * 2), (7, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, [(s.lo, s.hi) for s in r.spans], bytes(r.kept)) for r in sx.cut_repeats(df).collect()), key=repr)
+    raw = {t: (t or "").encode() for _, t in rows}
+    seen = Counter(r[s : s + 400] for _, t in rows for r in [raw[t]] for s in range(len(r) - 399))
+    want = []
+    for i, t in rows:
+        spans = []
+        for s in range(len(raw[t]) - 399):
+            if seen[raw[t][s : s + 400]] > 1:
+                if spans and s <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], s + 400)
+                else:
+                    spans.append((s, s + 400))
+        kept, at = b"", 0
+        for lo, hi in spans:
+            kept, at = kept + raw[t][at:lo], hi
+        want.append((i, spans, kept + raw[t][at:]))
+    assert got == sorted(want, key=repr)
+    assert all(common.encode() not in kept for _, _, kept in got) and (3, [], raw[rows[2][1]]) in got
+
+
+def test_registered_query_returns_texts(spark):
+    rows = QUERIES["op5_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()
+    texts = {d.doc_id: d.text or "" for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    cut = 0
+    for r in rows:
+        raw, kept, at = texts[r.doc_id].encode(), b"", 0
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        for lo, hi in spans:
+            kept, at = kept + raw[at:lo], hi
+        kept += raw[at:]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+        assert r.text == kept.decode("utf-8", "replace")
+        cut += bool(spans)
+    assert len(rows) == len(texts) and 0 < cut < len(rows)

@@ -1,7 +1,9 @@
-"""Access rules. ``visible`` is the only maker of candidate sets: all searches build on it."""
+"""Access rules. ``visible`` and its form inside a row, ``seen_by``, are the only makers of candidate sets: all searches build on them."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def visible(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(c, rule).select(*mine, *theirs)
 
 
+def seen_by(rights: list[dict]) -> Column:
+    """The numbers of those ``rights`` (tenant_id, caller_tags, query_collection) under which a chunk may be seen: the rule of ``visible`` inside a row."""
+    held = F.from_json(F.lit(json.dumps([{"n": i, **r} for i, r in enumerate(rights)])), "array<struct<n:int,tenant_id:string,caller_tags:array<string>,query_collection:string>>")
+    rule = lambda r: (r["tenant_id"] == F.col("tenant_id")) & allowed(F.col("acl_tags"), r["caller_tags"]) & in_scope(F.col("collection_id"), r["query_collection"])
+    return F.transform(F.filter(held, rule), lambda r: r["n"])
+
+
 def narrowed(tags: Column, allowlist: Column) -> Column:
     """Tags on the tenant's list, in their order; no list at all is no restriction."""
     return F.when(allowlist.isNull(), tags).otherwise(F.array_intersect(tags, allowlist))

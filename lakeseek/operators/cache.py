@@ -8,16 +8,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakeseek.functions import vector
-from lakeseek.operators import dense
+from lakeseek.operators import dense, local
 from lakeseek.sources.staging import staged
 
 THRESHOLD, TTL_SECONDS, NO_COLLECTION = 0.9, 3600, "__none__"
 #: Signed projections per bucket key, the share of pairs at the threshold that must meet, and the seed of the hyperplanes.
 BITS, RECALL, PLANES_SEED, MOST_TABLES = 12, 0.995, 17, 64
+#: Questions that a task compares with its entries at a time.
+LOOKED_UP = 8192
 PARTITION = ["tenant_id", "collection_id", "tags"]
 
 
@@ -35,23 +40,59 @@ def live(entries: DataFrame, now: Column) -> DataFrame:
 
 
 def lookup(queries: DataFrame, entries: DataFrame, now: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """query_id, entry_id, similarity of the nearest live entry in the query's partition, where it is near enough.
+    """query_id, entry_id, similarity of the nearest live entry in the query's partition, where it is near enough; of equally near ones the least id.
 
     queries: query_id, tenant_id, collection_id, tags, query_vector; entries: entry_id, tenant_id,
-    collection_id, tags, vector, expires_at. Blocks of questions are broadcast as for dense search; the nearest
-    is found by a partial maximum, not a sort.
+    collection_id, tags, vector, expires_at. Exact: every question is compared with every entry of its partition, in matrix products
+    where the entries lie. Blocks of LOOKED_UP questions travel with the tasks, and a task sends on at most one row per question.
     """
-    key = ["tenant_id", "collection_id", "tags"]
-    q = queries.select("query_id", "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags"), "query_vector")
-    e = live(entries, now).select("entry_id", "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags"), "vector")
-    e, q = e.withColumn("norm", vector.norm(F.col("vector"))), q.withColumn("query_norm", vector.norm(F.col("query_vector")))
-    parts = []
-    for block in dense.blocks(q):
-        # the entries stay where they lie; a task sends on one row per question of the block
-        near = e.join(F.broadcast(block), key).select("query_id", "entry_id", F.round(vector.cosine(F.col("query_vector"), F.col("vector"), F.col("query_norm"), F.col("norm")), 9).alias("similarity"))
-        parts.append(near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("order"))).alias("b")))
-    best = reduce(DataFrame.unionByName, parts)
-    return best.select("query_id", (-F.col("b.order")).alias("entry_id"), F.col("b.similarity").alias("similarity")).where(F.col("similarity") >= threshold)
+    own = lambda c: [F.col(c), "tenant_id", collection_key(F.col("collection_id")).alias("collection_id"), tags_key(F.col("tags")).alias("tags")]
+    q = queries.select(*own("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
+    e = live(entries, now).select(*own("entry_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    local.bounded(entries.sparkSession)
+    schema = T.StructType([q.schema["query_id"], e.schema["entry_id"], T.StructField("similarity", T.DoubleType())])
+    best = reduce(DataFrame.unionByName, [e.mapInArrow(_nearest(block.collect(), threshold, schema), schema) for block in dense.blocks(q, LOOKED_UP)])
+    first = best.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("order"))).alias("b"))
+    return first.select("query_id", (-F.col("b.order")).alias("entry_id"), F.col("b.similarity").alias("similarity"))
+
+
+def _nearest(asked: list, threshold: float, schema: T.StructType):
+    """The search of one task for the questions ``asked``."""
+    groups = {}
+    for i, r in enumerate(asked):
+        if r["query_vector"] is not None and None not in r["query_vector"] and None not in (r["tenant_id"], r["collection_id"], r["tags"]):
+            groups.setdefault((r["tenant_id"], r["collection_id"], r["tags"], len(r["query_vector"])), []).append(i)
+    held = {}
+    for (*key, size), at in groups.items():
+        held.setdefault(tuple(key), []).append((size, np.array(at), np.array([asked[i]["query_vector"] for i in at], float).reshape(len(at), size)))
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    names = pa.array([r["query_id"] for r in asked], arrow.field("query_id").type)
+    last = np.iinfo(np.int64).max
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, ids = np.full(len(asked), -np.inf), np.full(len(asked), last)
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in PARTITION), strict=True))
+            for key in set(keys) & held.keys():
+                mine = batch.filter(pa.array([k == key for k in keys]))
+                for size, at, vectors in held[key]:
+                    for part in local.slices(mine, len(at), False):
+                        rows, ok = dense.matrix(part.column("vector"), size)
+                        number = part.column("entry_id").to_numpy(zero_copy_only=False).astype(np.int64)[ok]
+                        if not len(number):
+                            continue
+                        near = dense.cosines(vectors, rows[ok])
+                        most = near.max(axis=1)
+                        some = np.flatnonzero((most >= threshold) & (most >= top[at]))
+                        least = np.where(near[some] == most[some, None], number[None, :], last).min(axis=1)
+                        better = (most[some] > top[at[some]]) | (least < ids[at[some]])
+                        to = at[some[better]]
+                        top[to], ids[to] = most[some[better]], least[better]
+        found = np.flatnonzero(top >= threshold)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(found)), pa.array(ids[found]).cast(arrow.field("entry_id").type), pa.array(top[found])], schema=arrow)
+
+    return search
 
 
 def tables_for(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
@@ -105,7 +146,7 @@ def candidates(queries: DataFrame, entries: DataFrame, tables: int, bits: int =
 
 
 def lookup_near(queries: DataFrame, entries: DataFrame, now: Column, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """What ``lookup`` gives, for high thresholds, without comparing every question with every entry.
+    """What ``lookup`` gives but for misses at a rate of 1 - ``recall`` at most, for high thresholds, without comparing every question with every entry.
 
     Signed random projections are the keys of an equi-join; what meets is verified by the exact cosine, so no hit is
     wrong. A pair at the threshold is missed with a probability of at most 1 - ``recall``, a nearer one with less, and an equal vector never.

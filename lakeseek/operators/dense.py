@@ -15,9 +15,9 @@ from lakeseek.operators import local
 QUERY_BLOCK = 2000
 
 
-def blocks(queries: DataFrame) -> list[DataFrame]:
-    """``queries`` (query_id, ...) in hash blocks of about QUERY_BLOCK rows, each small enough to travel."""
-    n = -(-queries.count() // QUERY_BLOCK)
+def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> list[DataFrame]:
+    """``queries`` (query_id, ...) in hash blocks of about ``size`` rows, each small enough to travel."""
+    n = -(-queries.count() // size)
     if n <= 1:
         return [queries]
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]

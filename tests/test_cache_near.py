@@ -43,3 +43,30 @@ def test_copies_ties_nulls_and_sizes(spark):
     got = {r.query_id: (r.entry_id, r.similarity) for r in cache.lookup_near(spark.createDataFrame(asked, QUERIES), e, now()).collect()}
     assert got == {1: (10, 1.0), 2: (10, 1.0), 6: (6, 1.0)}
     assert cache.lookup_near(spark.createDataFrame([], QUERIES), e, now()).count() == 0 and cache.lookup_near(spark.createDataFrame(asked, QUERIES), e.limit(0), now()).count() == 0
+
+
+def test_query_misses_nothing(spark):
+    """The two hits of sf0.1 that no bucket held are among the rows of the query."""
+    from lakeseek.plans.catalog import QUERIES
+    from lakeseek.plans import indexes  # noqa: F401
+
+    got = {(r.query_id, r.entry_id, r.similarity) for r in QUERIES["cache_near"](spark, "/root/testdata/sf0.1").collect()}
+    assert {(1441, 1441, 0.901901), (935, 935, 0.906171)} <= got and len(got) == 1875
+
+
+def test_lookup_over_many_entries_copies_and_sizes(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 8))
+    v[1500:] = v[:1500]
+    parts = [("t", None, ["x"]), ("t", "c", []), ("u", None, [])]
+    e = spark.createDataFrame([(9000 - i, *parts[i % 3], v[i].tolist(), None) for i in range(3000)] + [(1, *parts[0], None, None), (2, *parts[0], [1.0], None), (3, *parts[0], [0.0] * 8, None)], ENTRIES).withColumn("expires_at", now() + F.expr("interval 1 hour")).repartition(5)
+    q = [(i, *parts[i % 3], (v[i] + 0.05).tolist()) for i in range(200)] + [(500, *parts[0], [2.0]), (501, *parts[0], None), (502, *parts[0], [0.0] * 8), (503, None, None, [], v[0].tolist())]
+    got = {r.query_id: (r.entry_id, r.similarity) for r in cache.lookup(spark.createDataFrame(q, QUERIES), e, now(), 0.9).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {500: (2, 1.0)}
+    for i in range(200):
+        a = v[i] + 0.05
+        near = [(-round(float(unit[j] @ a / np.linalg.norm(a)), 9), 9000 - j) for j in range(i % 3, 3000, 3)]
+        if -min(near)[0] >= 0.9:
+            want[i] = (min(near)[1], -min(near)[0])
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} and all(abs(got[k][1] - x[1]) < 2e-9 for k, x in want.items())

@@ -1,9 +1,9 @@
-"""A vector index in cells: k-means cells, rows laid out by tenant and cell, residual codes, exact rescoring.
+"""A vector index in cells: k-means cells, rows laid out by tenant and cell, exact scores within the cells looked into.
 
 Centres are trained on a sample of bounded size (SAMPLE rows for each centre, a documented parameter), by rounds in which
-Spark assigns the rows and averages them; every row is indexed. A row keeps its vector and a code of one byte per
-dimension for what its unit vector has over its centre. A question looks into its nearest cells alone, whose folders
-are the only ones opened; codes rank the visible rows there, and the best are scored by their own vectors.
+Spark assigns the rows and averages them; every row is indexed. A question looks into its nearest cells alone, whose folders
+are the only ones opened; all visible rows there are scored by their own vectors, where they lie. (A cut by coded
+residuals before that lost rows: copies of one vector share one code, so many copies filled the places of nearer rows.)
 
 A question whose tenant has no more rows than one look would give is answered exactly, by reading all its cells.
 Rows without length are their own kind: their cosine is 0, so they lie in cell 0 and are met by any question of it only.
@@ -14,22 +14,26 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeseek.functions import vector
-from lakeseek.operators.acl import tenant_key, visible
-from lakeseek.operators.dense import blocks
+from lakeseek.operators import local
+from lakeseek.operators.acl import tenant_key
+from lakeseek.operators.dense import blocks, matrix, scorer
 from lakeseek.sources.snapshots import Log
 from lakeseek.sources.staging import staged
 
 #: Rows of the training sample per centre, rounds of training.
 SAMPLE, ROUNDS = 256, 8
-#: Steps of a code byte on either side of 0; residuals of unit vectors lie in -2 to 2.
-STEPS, WIDEST = 127, 2.0
-#: Cells looked into, and rows rescored as a multiple of k.
-PROBES, RESCORED = 8, 8
+#: Cells looked into.
+PROBES = 8
 
 
 @dataclass
@@ -82,9 +86,40 @@ def train(vectors: DataFrame, cells: int, rounds: int = ROUNDS, seed: int = 0) -
     return centres
 
 
-def coded(u: Column, centre: Column) -> Column:
-    """One whole number of -127 to 127 per dimension."""
-    return F.zip_with(u, centre, lambda x, c: F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), F.round((x - c) * (STEPS / WIDEST)))).cast("tinyint"))
+def _flat(v: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors with a length, by size."""
+    out, sizes = [], pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+    for size in set(sizes.tolist()) - {0}:
+        rows, ok = matrix(v, size)
+        norm = np.linalg.norm(rows, axis=1)
+        at = np.flatnonzero(ok & (norm > 0))
+        out.append((at, rows[at] / norm[at, None]))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def units(v: pa.Array) -> pa.Array:
+    """Vectors of length 1; null for those without a length."""
+    out: list = [None] * len(v)
+    for at, rows in _flat(v):
+        for i, row in zip(at, rows, strict=True):
+            out[i] = row
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def cell_of(v: Column, centres: list[list[float]]) -> Column:
+    """The centre of greatest inner product with the unit vector, the first of equal ones; 0 for a vector without a length."""
+
+    @F.arrow_udf(T.IntegerType())
+    def cell(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), np.int32)
+        for at, rows in _flat(vectors):
+            held = [c for c, x in enumerate(centres) if len(x) == rows.shape[1]]
+            if held:
+                out[at] = np.array(held)[np.round(rows @ np.array([centres[c] for c in held]).T, 12).argmax(axis=1)]
+        return pa.array(out)
+
+    return cell(v)
 
 
 def build(rows: DataFrame, path: str, run: str, cells: int = 64, key: str = "vec_id") -> Index:
@@ -94,13 +129,12 @@ def build(rows: DataFrame, path: str, run: str, cells: int = 64, key: str = "vec
     done = log.run(run)
     if done is None:
         base = log.state()
-        normed = staged(rows.withColumn("norm", vector.norm(F.col("embedding"))).withColumn("u", unit(F.col("embedding"), F.col("norm"))))
-        centres = train(normed.where("norm > 0").select("u"), cells)
-        held = _literal(centres or [[0.0]])
-        cell = F.when(F.col("norm") > 0, nearest(F.col("u"), held, 1)[0]["cell"]).otherwise(0)
-        laid = normed.withColumn("cell", F.coalesce(cell, F.lit(0))).withColumn("code", coded(F.col("u"), F.get(held, F.col("cell")))).drop("u").withColumn("tenant_key", tenant_key(F.col("tenant_id")))
+        local.bounded(spark)
+        centres = train(rows.select(units(F.col("embedding").cast("array<double>")).alias("u")), cells)
+        laid = rows.withColumn("cell", cell_of(F.col("embedding").cast("array<double>"), centres)).withColumn("tenant_key", tenant_key(F.col("tenant_id")))
         place = f"data/rows-{uuid.uuid4().hex}"
-        laid.hint("rebalance", F.col("tenant_key"), F.col("cell")).write.partitionBy("tenant_key", "cell").parquet(f"{path}/{place}")
+        # each task writes what it holds into the folders; the table is neither staged nor shuffled
+        laid.write.option("compression", "zstd").partitionBy("tenant_key", "cell").parquet(f"{path}/{place}")
         order = [c for c in laid.schema.fields if c.name not in ("tenant_key", "cell")] + [laid.schema["tenant_key"], laid.schema["cell"]]
         schema = json.dumps({"type": "struct", "fields": [f.jsonValue() for f in order]})
         done = log.commit(base["version"], run, {"centres": centres, "schema": schema, "key": key, "tables": {"rows": {"place": place}}})
@@ -128,28 +162,32 @@ def _rows_of(index: Index, probed: DataFrame) -> DataFrame:
     return index.rows().where(wanted)
 
 
-def top_k(queries: DataFrame, index: Index, k: int = 20, probes: int = PROBES, rescored: int = RESCORED) -> DataFrame:
+def top_k(queries: DataFrame, index: Index, k: int = 20, probes: int = PROBES, rescored: int | None = None) -> DataFrame:
     """query_id, key, score, rank: the nearest visible rows in the cells of each question, as dense.top_k scores them.
 
-    The access rule runs inside the join, before any ranking. A code's estimate is the centre's part plus the inner product
-    with the residual; the best ``rescored`` * k by it are scored exactly.
+    The access rule runs before any ranking, and a task keeps and sends on k rows per question. All rows of the cells are
+    scored exactly, so ``rescored``, once the length of a list cut by codes, changes nothing.
     """
     key, parts = index.key, []
-    for block in blocks(queries):
-        probed = staged(looked_into(block, index, probes))
-        rows = _rows_of(index, probed).withColumnRenamed("cell", "row_cell")
-        pairs = visible(F.broadcast(probed.drop("tenant_key")), rows.drop("tenant_key")).where(F.col("cell") == F.col("row_cell"))
-        residual = F.aggregate(F.zip_with("query_unit", "code", lambda q, c: q * c), F.lit(0.0), lambda s, x: s + x) * F.lit(WIDEST / STEPS)
-        estimate = F.when((F.col("norm") == 0) | (F.col("query_norm") == 0), 0.0).otherwise(F.col("centre_score") + residual)
-        order = Window.partitionBy("query_id").orderBy(F.desc("estimate"), key)
-        near = pairs.select("query_id", key, "query_vector", "query_norm", "embedding", "norm", estimate.alias("estimate")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rescored * k)
-        score = F.round(vector.cosine(F.col("query_vector"), F.col("embedding"), F.col("query_norm"), F.col("norm")), 9)
-        final = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-        parts.append(near.select("query_id", key, score.alias("score")).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stored = index.rows()
+    wanted = queries.select("query_id", *local.RIGHTS, "query_vector")
+    schema = T.StructType([wanted.schema["query_id"], T.StructField("score", T.DoubleType()), stored.schema[key]])
+    for block in blocks(wanted):
+        probed = staged(looked_into(block, index, probes).select("query_id", "tenant_key", "cell"))
+        asked = block.collect()
+        into: dict = {}
+        for r in probed.collect():  # at most ``probes`` rows a question
+            into.setdefault(r["query_id"], set()).add(r["cell"])
+        member = np.array([[c in into[r["query_id"]] for c in range(max(len(index.centres), 1))] for r in asked], bool).reshape(len(asked), -1)
+        exact = scorer([r["query_vector"] for r in asked], "embedding")
+
+        def score(batch: pa.RecordBatch, member=member, exact=exact) -> np.ndarray:
+            return np.where(member[:, batch.column("cell").to_numpy()], exact(batch), np.nan)  # no number: not met
+
+        parts.append(local.best(_rows_of(index, probed), asked, score, ["embedding", "cell"], [key], k, schema))
+    found = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.select("query_id", key, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> float:

@@ -98,7 +98,8 @@ def may_see(seen: pa.Array, mine: np.ndarray, rights: int) -> np.ndarray:
 def best(rows: DataFrame, asked: list, score: Callable, columns: list, ties: list[str], k: int, schema: T.StructType, wide: int = 0) -> DataFrame:
     """``schema``: the first fields of the questions ``asked`` (named as there), then score, then ``ties``; at most ``k`` rows per question and task.
 
-    score(batch) gives the scores by question and row from ``columns`` of ``rows``; -inf stands for none and comes out as null.
+    score(batch) gives the scores by question and row from ``columns`` of ``rows``; -inf stands for none and comes out as null, NaN for a
+    row that isn't met.
     """
     spark = rows.sparkSession
     bounded(spark)

@@ -68,3 +68,15 @@ def test_nearest_breaks_ties_by_number(spark):
     held = F.from_json(F.lit("[[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]"), "array<array<double>>")
     got = spark.range(1).select(clustered.nearest(F.array(F.lit(1.0), F.lit(0.5)), held, 2).alias("n")).first().n
     assert [(g.score, g.cell) for g in got] == [(1.0, 0), (1.0, 1)]
+
+
+def test_many_copies_push_no_row_out(spark, tmp_path):
+    """Sixty copies of each vector: their equal codes filled the list of rows that were scored, and the least ids were lost."""
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    rows = [(i, base[i % 60], "t", [], None) for i in range(3600)]
+    vecs = spark.createDataFrame(rows, ROWS)
+    asked = spark.createDataFrame([(i, [x + rng.gauss(0, 0.02) for x in base[i]], "t", [], None) for i in range(12)], ASKED)
+    near = spark.createDataFrame([(10**6 + i, [x + rng.gauss(0, 0.01) for x in base[i % 12]], "t", [], None) for i in range(2400)], ROWS)
+    index = clustered.build(vecs.unionByName(near), str(tmp_path / "v"), "run", cells=4)
+    assert rows_of(clustered.top_k(asked, index, probes=4)) == rows_of(dense.top_k(asked, vecs.unionByName(near)))

@@ -45,3 +45,27 @@ def prefixed(chunks: DataFrame, docs: DataFrame, cache: DataFrame, generate, ver
     hits = found.where("cached is not null").withColumn("contextual_prefix", F.trim("cached"))
     misses = found.where("cached is null").withColumn("contextual_prefix", F.trim(generate(F.col("doc_text"), F.col("text"))))
     return hits.unionByName(misses).drop("cached", "doc_text")
+
+
+def keys_of(docs: DataFrame, version: str = "1") -> DataFrame:
+    """doc_id (and tenant_id), ordinal and prefix_key of every chunk of ``docs``, as ``prefixed`` names it; no text leaves its row."""
+    own = [c for c in ("tenant_id", "doc_id") if c in docs.columns]
+    chunks = chunk(docs.select(*own, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_sha")))
+    return chunks.select(*own, "ordinal", F.sha2(F.concat_ws("\x1f", F.lit(version), F.col("doc_id").cast("string"), "doc_sha", "text"), 256).alias("prefix_key"))
+
+
+def prefixed_of(docs: DataFrame, cache: DataFrame, generate, version: str = "1", keys: DataFrame | None = None) -> DataFrame:
+    """``prefixed(chunk(docs), docs, ...)`` for documents of distinct ids, without a chunk's or a document's text beside each key.
+
+    Only keys travel to the cache; what is found comes back as one list per document, so a document's text is shuffled once and not
+    with each of its chunks. ``keys``: ``keys_of`` the same documents, where they are at hand.
+    """
+    own = [c for c in ("tenant_id", "doc_id") if c in docs.columns]
+    known = cache.where("prefix is not null").groupBy("prefix_key").agg(F.max("prefix").alias("cached"))
+    found = (keys_of(docs, version) if keys is None else keys).join(known, "prefix_key", "left")
+    lists = found.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("ordinal", "prefix_key", "cached"))).alias("found"))  # an entry per chunk of the document
+    carried = docs.withColumn("doc_text", F.coalesce("text", F.lit(""))).join(lists, own, "left")
+    rows = chunk(carried).withColumn("f", F.get("found", F.col("ordinal"))).withColumn("prefix_key", F.col("f.prefix_key")).withColumn("cached", F.col("f.cached")).drop("f", "found")
+    hits = rows.where("cached is not null").withColumn("contextual_prefix", F.trim("cached"))
+    misses = rows.where("cached is null").withColumn("contextual_prefix", F.trim(generate(F.col("doc_text"), F.col("text"))))
+    return hits.unionByName(misses).drop("cached", "doc_text")

@@ -11,6 +11,7 @@ from lakeseek.functions import vector
 from lakeseek.operators import acl, bm25, cache, chunking, context, dense, fusion, guard, incremental, metrics, observe, redaction, rewrite
 from lakeseek.plans import answer
 from lakeseek.sources import corpora, html, tables
+from lakeseek.sources.staging import staged
 from lakeseek.streaming import ingest
 
 FLAGSHIP = "hybrid_topk"
@@ -168,11 +169,11 @@ def paragraph_split(spark, sf):
 SELECT chunk_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'cached ' || doc_id ELSE 'doc of ' || len(t) END || E'\\n\\n' || array_to_string(tokens, ' ')) AS sha
 FROM chunks JOIN (SELECT doc_id, t FROM windows) USING (doc_id)""")
 def contextual_prefix(spark, sf):
-    docs, chunks = tables.documents(spark, sf), _chunks(spark, sf).drop("tokens")
+    docs = tables.documents(spark, sf)
     count = lambda doc, text: F.concat(F.lit("doc of "), F.size(vector.words(doc)).cast("string"))
-    keyed = chunking.prefixed(chunks, docs, spark.createDataFrame([], "prefix_key string, prefix string"), count)
-    known = keyed.where("doc_id % 2 = 0").select("prefix_key", F.concat(F.lit(" cached "), F.col("doc_id").cast("string")).alias("prefix")).groupBy("prefix_key").agg(F.max("prefix").alias("prefix"))
-    done = chunking.prefixed(chunks, docs, known, count)
+    keys = staged(chunking.keys_of(docs))
+    known = keys.where("doc_id % 2 = 0").select("prefix_key", F.concat(F.lit(" cached "), F.col("doc_id").cast("string")).alias("prefix"))
+    done = chunking.prefixed_of(docs, known, count, keys=keys)
     return done.select("chunk_id", F.sha2(chunking.embed_text(), 256).alias("sha"))
 
 

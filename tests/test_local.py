@@ -15,14 +15,14 @@ CHUNK = "tenant_id string, chunk_id string, acl_tags array<string>, collection_i
 ASKED = "query_id long, question string, tenant_id string, caller_tags array<string>, query_collection string"
 
 
-def shuffled(spark, job):
-    """Result of ``job``, and the rows that its stages wrote to shuffles."""
+def shuffled(spark, job, what="shuffleWriteRecords"):
+    """Result of ``job``, and the rows (or bytes) that its stages wrote to shuffles."""
     sc = spark.sparkContext
 
     def written():
         sc._jsc.sc().listenerBus().waitUntilEmpty()
         stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
     before = written()
     out = job()
@@ -90,3 +90,20 @@ def test_building_an_index_shuffles_no_postings(spark, tmp_path):
     assert index.table("blocks").selectExpr("max(size(postings))").first()[0] <= inverted.BLOCK
     told = index.table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("term = 'all'").first().df
     assert told == 600
+
+
+def test_prefixes_without_texts_beside_their_keys(spark):
+    from lakeseek.operators import chunking
+
+    rng = random.Random(4)
+    docs = staged(spark.createDataFrame([("t", i, " ".join(rng.choices([f"w{j}" for j in range(5000)], k=[0, 20, 1500][i % 3])) if i != 7 else None) for i in range(60)], "tenant_id string, doc_id long, text string"))
+    count = lambda doc, text: F.concat(F.lit(" doc "), F.length(doc).cast("string"), F.length(text).cast("string"))
+    keys = staged(chunking.keys_of(docs))
+    half = keys.where("ordinal % 2 = 0").select("prefix_key", F.concat(F.lit("p"), "ordinal").alias("prefix"))
+    cache = staged(half.unionByName(half))  # a key that is held twice gives no row twice
+    want = chunking.prefixed(chunking.chunk(docs), docs, cache.distinct(), count)
+    columns = ["tenant_id", "doc_id", "ordinal", "chunk_id", "text", "prefix_key", "contextual_prefix"]
+    before = sorted(map(tuple, want.select(columns).collect()))
+    got, n = shuffled(spark, lambda: sorted(map(tuple, chunking.prefixed_of(docs, cache, count, keys=keys).select(columns).collect())), "shuffleWriteBytes")
+    assert got == before and len(got) > 400
+    assert n < 2 * docs.selectExpr("sum(length(text))").first()[0], n

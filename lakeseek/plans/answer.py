@@ -6,8 +6,14 @@ carry both, so that equal chunk ids of other tenants never meet.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeseek.functions.vector import tokens
 from lakeseek.operators import bm25, cache, context, dense, fusion, guard, redaction, rewrite
@@ -34,6 +40,16 @@ def question_vectors(queries: DataFrame, text: str = "question") -> DataFrame:
     return vectors_of(queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"), F.lit(1).alias("tf")), ["query_id"], "query_vector")
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def hashed_counts(terms: pa.Array) -> pa.Array:
+    """``vectors_of`` inside a row: the sums of tf by ``bucket_of`` of counted terms."""
+    rows, flat = pc.list_parent_indices(terms).to_numpy(), pc.list_flatten(terms)
+    words = flat.field(0).dictionary_encode()
+    bucket = np.array([hashlib.md5(w.encode()).digest()[0] % DIMENSION for w in words.dictionary.to_pylist()] or [0], np.int64)
+    counts = np.bincount(rows.astype(np.int64) * DIMENSION + bucket[words.indices.to_numpy()], flat.field(1).to_numpy(zero_copy_only=False), minlength=len(terms) * DIMENSION)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1, dtype=np.int32) * DIMENSION), pa.array(counts))
+
+
 def dense_ranking(queries: DataFrame, index: bm25.Index, k: int = 20, embed=None, chunks: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank by hashed vectors of the index's term counts, or by those of ``embed``.
 
@@ -44,7 +60,7 @@ def dense_ranking(queries: DataFrame, index: bm25.Index, k: int = 20, embed=None
         held = chunks.select(*CHUNK, "embedding") if "embedding" in chunks.columns else embed(chunks, CHUNK, "text", "embedding")
         asked = queries.join(embed(queries, ["query_id"], "question", "query_vector"), "query_id").select("query_id", "tenant_id", "caller_tags", "query_collection", "query_vector")
         return dense.top_k(asked, index.listed.select(*bm25.ATTRIBUTES).join(held, CHUNK), k, "chunk_id")
-    vecs = index.listed.select(*bm25.ATTRIBUTES).join(vectors_of(bm25.unfolded(index.listed).select(*CHUNK, "term", "tf"), CHUNK, "embedding"), CHUNK)
+    vecs = index.listed.where("dl > 0").select(*bm25.ATTRIBUTES, hashed_counts("terms").alias("embedding"))
     asked = queries.join(question_vectors(queries), "query_id").select("query_id", "tenant_id", "caller_tags", "query_collection", "query_vector")
     return dense.top_k(asked, vecs, k, "chunk_id")
 
@@ -59,7 +75,9 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, window: int = fus
     """query_id, tenant_id, chunk_id, rank, score, rerank_score, component_scores and the chunk's attributes: dense and sparse, fused, reranked."""
     index = index or bm25.build(chunks)
     fused = fusion.fuse(both_rankings(queries, index, k, embed, chunks)).where(F.col("rank") <= window)
-    late = fused.join(queries.select("query_id", "tenant_id", "question"), "query_id").join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
+    # written, so that Spark knows how few they are and needn't shuffle the texts to meet them
+    few = staged(fused.join(queries.select("query_id", "tenant_id", "question"), "query_id"))
+    late = few.join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
     return fusion.rerank(late, fusion.overlap_score(), top)
 
 
@@ -82,18 +100,19 @@ def suspected(ranked: DataFrame, fold=guard.folded) -> DataFrame:
     return found.select("query_id", F.explode("labels").alias("label")).groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("suspected"))
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None, embed=None, lookup=cache.lookup) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def retrieved(queries: DataFrame, chunks: DataFrame, tier: DataFrame | None, now: Column | None, embed=None, lookup=cache.lookup, index: bm25.Index | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Reranked rows of the questions (question holds the text to search by), new entries of the retrieval tier, and the questions that it answered.
 
     queries: with query_vector where there is a tier. Questions that the tier answers skip retrieval; their
     chunks are joined again, under the rights of the caller that the tier's partition stands for.
     """
     if tier is None:
-        return hybrid(queries.drop("query_vector"), chunks, embed=embed), None, None
+        return hybrid(queries.drop("query_vector"), chunks, index=index, embed=embed), None, None
     hits = staged(lookup(cache.asked(queries), tier, now).join(tier.select("entry_id", "payload"), "entry_id").select("query_id", F.from_json("payload", RANKED).alias("ranked")))
-    known = hits.select("query_id", F.explode("ranked").alias("r")).select("query_id", "r.*").join(queries.select("query_id", "tenant_id", "question"), "query_id").join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
+    held = staged(hits.select("query_id", F.explode("ranked").alias("r")).select("query_id", "r.*").join(queries.select("query_id", "tenant_id", "question"), "query_id"))
+    known = held.join(chunks.select(*CHUNK, "doc_id", "text", "title", "source"), CHUNK)
     rest = queries.join(hits.select("query_id"), "query_id", "left_anti")
-    fresh = staged(hybrid(rest.drop("query_vector"), chunks, embed=embed).drop("component_scores"))
+    fresh = staged(hybrid(rest.drop("query_vector"), chunks, index=index, embed=embed).drop("component_scores"))
     lists = fresh.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "rerank_score", "doc_id"))).alias("r"))
     payload = F.to_json(F.transform("r", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["rank"].alias("rank"), x["score"].alias("score"), x["rerank_score"].alias("rerank_score"))))
     made = cache.entries(rest.join(lists, "query_id").withColumn("payload", payload).withColumn("doc_ids", F.array_distinct(F.transform("r", lambda x: x["doc_id"].cast("string")))), now)
@@ -108,13 +127,13 @@ def answers(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
 def answered(
     queries: DataFrame, chunks: DataFrame, budget: int = context.BUDGET, fold=guard.folded, generate=extractive, synonyms: DataFrame | None = None, expand=None,
     answer_tier: DataFrame | None = None, retrieval_tier: DataFrame | None = None, now: Column | None = None, embed=None, scan_output: bool = False, judge=None, schema: tuple[str, list[str]] | None = None,
-    lookup=cache.lookup,
+    lookup=cache.lookup, index: bm25.Index | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """query_id, answer, refused, blocked, cited and context chunk_ids, doc_ids, suspected, cache of every question, and new entries of the retrieval tier.
 
     The rewritten text feeds retrieval and the cache key alone; generation keeps the question. A hit of the
     answer tier returns at once, one of the retrieval tier skips the search. ``cache_entries`` makes new entries of the answers.
-    ``lookup`` may be ``cache.lookup_near`` where a tier is large.
+    ``lookup`` may be ``cache.lookup_near`` where a tier is large. ``index``: of the chunks, where they are searched more than once.
 
     Output guards, in order: citations; the schema (DDL and required fields) of the generator's column candidate; personal data in
     the answer where ``scan_output`` is set, which is redacted; groundedness where there is a ``judge``, a column function of
@@ -132,7 +151,7 @@ def answered(
         found = lookup(cache.asked(searched), answer_tier, now).join(answer_tier.select("entry_id", "payload"), "entry_id")
         cached = staged(found.select("query_id", F.from_json("payload", ANSWER).alias("a")))
         searched = searched.join(cached.select("query_id"), "query_id", "left_anti")
-    found_rows, entries, tier_hits = retrieved(searched, chunks, retrieval_tier, now, embed, lookup)
+    found_rows, entries, tier_hits = retrieved(searched, chunks, retrieval_tier, now, embed, lookup, index)
     ranked = staged(found_rows.drop("component_scores"))
     packed = context.pack(ranked.drop("question").join(open_queries.select("query_id", "question"), "query_id"), budget)
     written = generate(packed).withColumn("markers", context.markers(F.col("answer"), F.col("claimed")))

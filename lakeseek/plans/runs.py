@@ -135,9 +135,10 @@ def chunked_topk(spark, sf):
 def answer_cached(spark, sf):
     """All questions are answered, then asked again: what was neither refused nor blocked comes from the answer tier."""
     asked, chunks, now = tables.questions(spark, sf), tables.document_chunks(spark, sf), F.expr(NOW)
-    first = staged(answer.answers(asked, chunks))
+    index = bm25.build(chunks)
+    first = staged(answer.answers(asked, chunks, index=index))
     entries = staged(answer.cache_entries(first, asked, now))
-    return answer.answers(asked, chunks, answer_tier=entries, now=now).select("query_id", "cache")
+    return answer.answers(asked, chunks, answer_tier=entries, now=now, index=index).select("query_id", "cache")
 
 
 @query("experiment_scores")
@@ -154,9 +155,10 @@ def experiment_scores(spark, sf):
 def answer_tiers(spark, sf):
     """All questions are answered with an empty retrieval tier, which fills; asked again they skip the search."""
     asked, chunks, now = tables.questions(spark, sf), tables.document_chunks(spark, sf), F.expr(NOW)
-    none = answer.cache_entries(answer.answers(asked.limit(0), chunks), asked, now).limit(0)
-    made = staged(answer.answered(asked, chunks, retrieval_tier=staged(none), now=now)[1])
-    return answer.answers(asked, chunks, retrieval_tier=made, now=now).select("query_id", "cache")
+    index = bm25.build(chunks)
+    none = answer.cache_entries(answer.answers(asked.limit(0), chunks, index=index), asked, now).limit(0)
+    made = staged(answer.answered(asked, chunks, retrieval_tier=staged(none), now=now, index=index)[1])
+    return answer.answers(asked, chunks, retrieval_tier=made, now=now, index=index).select("query_id", "cache")
 
 
 _WRITTEN = ORACLES["answer_e2e"][: ORACLES["answer_e2e"].rindex("SELECT query_id, sha256(")]
